@@ -1,0 +1,21 @@
+"""Queries over the tables, one or more for each operator, with the same in SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def total_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return items.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("total"), F.avg("l_extendedprice").alias("mean")
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"total_by_group": total_by_group}
+SQL: dict[str, str] = {
+    "total_by_group": "SELECT l_returnflag, count(*) AS n, sum(l_extendedprice) AS total, avg(l_extendedprice) AS mean FROM lineitem GROUP BY 1"
+}
