@@ -22,7 +22,9 @@ import heapq
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ CHUNK, OVERLAP = 32768, 512
 #: Code points past a piece that the pattern may look at, at most.
 MARGIN = 8
 #: Distinct pieces whose ids a worker remembers; then it forgets them all.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -184,8 +186,16 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
     codec = Codec.of(path, pattern)
     for batch in slabs(batches, "_text"):
         ids = [codec.encode(text) for text in batch.column("_text").to_pylist()]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
         names = [c for c in batch.schema.names if c != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32()))], names=[*names, "_ids"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*names, "_ids"])
+
+
+def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """Each row's ids."""
+    flat, ends = column.flatten().to_numpy().tolist(), np.cumsum([0, *pc.list_value_length(column).to_pylist()]).tolist()
+    return (flat[a:b] for a, b in zip(ends, ends[1:]))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -228,7 +238,7 @@ def decode(ids: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> D
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in batches:
-            raw = [codec.decode(x.values.to_pylist()) for x in batch.column("_ids")]
+            raw = [codec.decode(ids) for ids in id_lists(batch.column("_ids"))]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_ids"), pa.array(raw, pa.binary())], names=[id_col, "ids", "raw"])
 
     return ids.mapInArrow(decoded, f"{id_col} {kind}, ids array<int>, raw binary")

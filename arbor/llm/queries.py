@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, exact, mixing, quality
+from . import bpe, counts, exact, flac, lbl, mixing, quality
 from .common import load
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -20,25 +21,56 @@ MAX_TOKENS = 2048
 
 
 def ids_digest(ids: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of (doc_id, ids, raw)."""
+    """doc_id, n_tokens, and digests of the ids and of what they decode to, of (_id, _ids)."""
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = [str(i) for i in range(1 + max(bpe.Codec.of(path, pattern).raw))]
+        codec = bpe.Codec.of(path, pattern)
+        name = [str(i) for i in range(1 + max(codec.raw))]
         for batch in batches:
-            n = pc.list_value_length(batch.column("ids")).cast(pa.int64())
-            sums = [hashlib.sha256(" ".join(map(name.__getitem__, x.values.to_pylist())).encode()).hexdigest() for x in batch.column("ids")]
-            raws = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("raw")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(sums, pa.string()), pa.array(raws, pa.string())], names=names)
-
-    kind = ids.schema["doc_id"].dataType.simpleString()
+            n, sums, raws = [], [], []
+            for own in bpe.id_lists(batch.column("_ids")):
+                n.append(len(own))
+                sums.append(hashlib.sha256(" ".join(map(name.__getitem__, own)).encode()).hexdigest())
+                raws.append(hashlib.sha256(codec.decode(own)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(raws, pa.string())], names=names)
+
+    kind = ids.schema["_id"].dataType.simpleString()
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     return ids.mapInArrow(digested, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_round_trip(docs: DataFrame) -> DataFrame:
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
-    ids = bpe.whole_ids(bpe.encode(docs, path, pattern))
-    return ids_digest(bpe.decode(ids, path, pattern), path, pattern)
+    return ids_digest(bpe.whole_ids(bpe.encode(docs, path, pattern)), path, pattern)
+
+
+def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = flac.with_pcm(flac.with_media(load(spark, sf_dir, "documents")))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for media, blocks in zip(batch.column("media"), batch.column("blocks")):
+                pcm = blocks.values.field("pcm")
+                raw = b"".join(x.as_buffer() for x in pcm)
+                samples = np.frombuffer(raw, np.uint8).astype(np.int64) - 128
+                crossings = int(np.count_nonzero(np.diff(np.signbit(samples))))
+                feature = f"frames={len(pcm)};sum={samples.sum()};energy={(samples * samples).sum()};peak={np.abs(samples).max()};crossings={crossings}"
+                stream = media.as_buffer()
+                out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), feature))
+            columns = zip(*out) if out else [()] * 6
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *map(pa.array, columns, kinds)], names=names)
+
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return stored.mapInArrow(measured, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.fold("doc_id", 7) == 2
+    scored = lbl.score(load(spark, sf_dir, "documents"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +116,8 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_flac": op1_flac,
+    "op2_lm_score": op2_lm_score,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
