@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, exact, flac, lbl, mixing, quality
+from . import bpe, counts, exact, flac, lbl, mixing, pii, quality
 from .common import load
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -100,6 +100,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(load(spark, sf_dir, "documents"))
+    tagged = lambda k: F.transform(k, lambda m: F.struct(F.lit(k).alias("k"), m["s"].alias("s"), m["e"].alias("e")))
+    found = found.withColumn("_base", F.concat(*map(tagged, pii.KINDS)))
+    return found.select(
+        F.col("_id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.joined("_base"), 256).alias("base_sha256"), pii.joined("_spans").alias("spans"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(load(spark, sf_dir, "documents"))
 
@@ -122,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
 SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
