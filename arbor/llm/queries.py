@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, exact, flac, lbl, mixing, pii, quality
+from . import bpe, counts, exact, flac, lbl, minhash, mixing, pii, quality
 from .common import load
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -73,6 +73,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(load(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(load(spark, sf_dir, "documents"))
 
@@ -114,6 +118,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(load(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []
+           WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+           ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY 1, 2, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
+"""
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -128,6 +154,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac": op1_flac,
     "op2_lm_score": op2_lm_score,
+    "op3_minhash": op3_minhash,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
@@ -135,4 +162,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
-SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op10_exact_dedup": OP10_SQL}
