@@ -2,19 +2,19 @@
 
 Equal shingle sets are folded into one class first, so copies are never paired. Each class
 posts itself under (coordinate, value) for the first ``POSTED`` coordinates of its signature.
-Two classes that agree in at least ``LEAST_POSTED`` of them share one of the
-``POSTED - LEAST_POSTED + 1`` rarest of either (prefix merging), so only those are posted, and
+Two classes that agree in at least ``least`` of them share one of the
+``POSTED - least + 1`` rarest of either (prefix merging), so only those are posted, and
 of those only the ones that another class has too; the remaining coordinates aren't merged
 but looked up (skip merging): a pair's collisions over all ``COORDINATES`` are counted, and
-pairs with ``LEAST`` or more are confirmed on the full sets.
+pairs above a match threshold are confirmed on the full sets.
 
 Long lists aren't paired out. First each class meets one hub of each of its lists, and its
 best match is confirmed: linear in the list. Where all of a list then is one component, the
 list is done. In others, only the classes outside its main component meet its other members,
 in blocks of ``BLOCK``, so that no task holds a whole list.
 
-A link at a similarity of exactly the threshold 0.85 has 4.7 standard deviations of margin
-in the posted coordinates and 3.6 in all, so fewer than 2 in 10,000 such single links (far
+The thresholds (:func:`least_matches`) leave a link at exactly the wanted similarity 4.7
+standard deviations of margin in the posted coordinates and 3.6 in all, so fewer than 2 in 10,000 such single links (far
 fewer above it) are lost; no cap is set on lists, candidates or rounds.
 
 Defined results: null and empty texts have no shingles and are alone; texts of fewer words
@@ -26,6 +26,7 @@ component; an empty table gives an empty result; only the id and text columns ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -40,13 +41,18 @@ from .common import slabs, stored, text_of, words
 from .components import components
 
 COORDINATES, POSTED = 256, 96
-LEAST, LEAST_POSTED = 197, 65
 SHINGLE, PERCENT = 3, 85
 BLOCK = 1024
 #: Distinct words whose hashes a worker remembers; then it forgets them all.
 REMEMBERED = 400_000
 
 
+def least_matches(coordinates: int, percent: int, deviations: float) -> int:
+    """Collisions that pairs of the similarity ``percent`` have, but for the chance of so many standard deviations."""
+    j = percent / 100
+    return math.floor(coordinates * j - deviations * math.sqrt(coordinates * j * (1 - j)))
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh64_intdigest(word)
@@ -119,7 +125,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("_id", "_text").mapInArrow(made, f"_id {kind}, _n long, _set binary, _posts binary, _sig binary")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _postings(classes: DataFrame, least: int) -> DataFrame:
     """(_token, _coord, _c, _n, _sig, _mask): each class under its rarest shared posted coordinates."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +142,7 @@ def _postings(classes: DataFrame) -> DataFrame:
     found = posted.join(shared, "_token")
     # What only one class has comes first in the order of rarity and takes up places of the prefix.
     found = found.withColumn("_place", F.row_number().over(own.orderBy("_times", "_token")) + POSTED - F.count(F.lit(1)).over(own))
-    prefix = found.where(F.col("_place") <= POSTED - LEAST_POSTED + 1).select("_c", "_token", "_times")
+    prefix = found.where(F.col("_place") <= POSTED - least + 1).select("_c", "_token", "_times")
     return stored(prefix, "minhash-postings")
 
 
@@ -256,17 +262,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return joined.select("a", "b", "_x", "_y").mapInArrow(compared, "a long, b long")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, least: int = LEAST, least_posted: int = LEAST_POSTED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, links): (_id, _n, _c) for each document with its class (null without shingles), and (a, b) links between classes.
 
     Classes are numbered by the smallest id of their documents where ids are integers.
     """
+    least = least_matches(COORDINATES, percent, 3.6)
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     signed = stored(_signed(texts, size), "minhash-signed")
     folded = signed.where("_n > 0").groupBy("_set").agg(F.min("_id").alias("_c"), F.first("_n").alias("_n"), F.first("_posts").alias("_posts"), F.first("_sig").alias("_sig"))
     classes = stored(folded.where("_c is not null"), "minhash-classes")
     members = signed.select("_id", "_n", "_set").join(classes.select("_set", "_c"), "_set", "left").select("_id", "_n", "_c")
-    postings = _postings(classes)
+    postings = _postings(classes, least_matches(POSTED, percent, 4.7))
     signatures = stored(_with_signatures(postings, classes), "minhash-prefixed")
     lists = postings.withColumn("_blocks", F.ceil(F.col("_times") / block))
     lists = lists.withColumn("_block", F.pmod(F.xxhash64("_c"), F.col("_blocks")))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, exact, flac, lbl, minhash, mixing, pii, quality
+from . import bpe, counts, exact, flac, lbl, lines, minhash, mixing, pii, quality
 from .common import load
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -81,6 +81,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(load(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_summary(load(spark, sf_dir, "documents"))
+    kept = F.size("kept_lines")
+    return found.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - F.col("n_blank") - kept).cast("long").alias("n_removed"),
+        F.array_join(F.col("kept_lines").cast("array<string>"), ",").alias("kept_lines"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = counts.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return counted.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
@@ -121,12 +130,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
-           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []
            WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-           ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS shingle
+           ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS shingle
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 links AS (
@@ -140,6 +149,32 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS comp
 FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
 """
 
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS x
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+sets AS (
+  SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS s FROM l),
+classes AS (
+  SELECT s, len(s) AS n, min((doc_id, line)) AS f FROM sets WHERE len(s) > 0 GROUP BY s),
+words AS (SELECT f, n, unnest(s) AS w FROM classes),
+df AS (SELECT w, count(*) AS c FROM words GROUP BY w),
+prefix AS (
+  SELECT f, n, w FROM words JOIN df USING (w)
+  QUALIFY row_number() OVER (PARTITION BY f ORDER BY c, w) <= n - ceil(n * 80 / 100.0) + 1),
+pairs AS (
+  SELECT DISTINCT a.f AS a, b.f AS b FROM prefix a JOIN prefix b ON a.w = b.w AND b.f < a.f
+  WHERE least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+gone AS (
+  SELECT DISTINCT a FROM pairs JOIN classes x ON x.f = a JOIN classes y ON y.f = b
+  WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+kept AS (
+  SELECT f[1] AS doc_id, string_agg(CAST(f[2] AS VARCHAR), ',' ORDER BY f[2]) AS kept_lines, count(*) AS k
+  FROM classes WHERE f NOT IN (SELECT a FROM gone) GROUP BY 1)
+SELECT d.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE len(s) > 0) - coalesce(any_value(k), 0) AS n_removed, coalesce(any_value(kept_lines), '') AS kept_lines
+FROM documents d JOIN sets USING (doc_id) LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -156,10 +191,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op3_minhash": op3_minhash,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
-SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op10_exact_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op3_minhash": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_exact_dedup": OP10_SQL}
