@@ -11,7 +11,8 @@ pairs above a match threshold are confirmed on the full sets.
 Long lists aren't paired out. First each class meets one hub of each of its lists, and its
 best match is confirmed: linear in the list. Where all of a list then is one component, the
 list is done. In others, only the classes outside its main component meet its other members,
-in blocks of ``BLOCK``, so that no task holds a whole list.
+in blocks of ``BLOCK``, so that no task holds a whole list: first for their best match in the
+main component, then, those that are still outside, for all others.
 
 The thresholds (:func:`least_matches`) leave a link at exactly the wanted similarity 4.7
 standard deviations of margin in the posted coordinates and 3.6 in all, so fewer than 2 in 10,000 such single links (far
@@ -40,7 +41,7 @@ from pyspark.sql.window import Window
 from .common import slabs, stored, text_of, words
 from .components import components
 
-COORDINATES, POSTED = 256, 96
+COORDINATES, POSTED = 384, 96
 SHINGLE, PERCENT = 3, 85
 BLOCK = 1024
 #: Distinct words whose hashes a worker remembers; then it forgets them all.
@@ -99,8 +100,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     a, b = _factors(COORDINATES)
     low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for lo in range(0, len(shingles), 2048):
-            np.minimum(low, (shingles[lo : lo + 2048, None] * a + b).min(0), out=low)
+        for lo in range(0, len(shingles), 128):
+            np.minimum(low, (shingles[lo : lo + 128, None] * a + b).min(0), out=low)
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
@@ -195,10 +196,10 @@ def _pairs(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int32())], names=["a", "b", "m"])
 
 
-def _cross_pairs(lists: DataFrame, percent: int, least: int) -> DataFrame:
+def _cross_pairs(lists: DataFrame, percent: int, least: int, best: bool) -> DataFrame:
     """(a, b, m): in each block of a list, what its outsiders (probes) match in other components.
 
-    A pair that shares several lists is compared in the one of the first coordinate that both
+    With ``best``, only each outsider's best match in the main component. A pair that shares several lists is compared in the one of the first coordinate that both
     have in their prefixes.
     """
 
@@ -215,7 +216,8 @@ def _cross_pairs(lists: DataFrame, percent: int, least: int) -> DataFrame:
             n, comp, own = (np.array([r[k] for r in members]) for k in ("_n", "_comp", "_c"))
             outside = np.array([r["_outside"] for r in members])
             for p in (r for r in run if r["_probe"]):
-                able = np.flatnonzero((comp != p["_comp"]) & (~outside | (own > p["_c"])) & _sized(p["_n"], n, percent))
+                others = ~outside if best else (comp != p["_comp"]) & (~outside | (own > p["_c"]))
+                able = np.flatnonzero(others & _sized(p["_n"], n, percent))
                 if not len(able):
                     continue
                 mine = np.frombuffer(p["_sig"], "<u2")
@@ -224,6 +226,8 @@ def _cross_pairs(lists: DataFrame, percent: int, least: int) -> DataFrame:
                 mine_mask = np.concatenate([p[k] >> bits & 1 for k in ("_m0", "_m48")]).astype(bool)
                 first = (same[:, :POSTED] & mask[able] & mine_mask).argmax(1) == coord
                 good = np.flatnonzero((m >= least) & first)
+                if best and len(good):
+                    good = good[m[good].argmax()][None]
                 out += [(p["_c"], int(own[able[i]]), int(m[i])) for i in good]
                 if len(out) > 10_000:
                     yield _pairs(out)
@@ -237,7 +241,7 @@ def _cross_pairs(lists: DataFrame, percent: int, least: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough; ``texts`` has (_c, _text)."""
     pairs = stored(pairs.select("a", "b"), "minhash-pairs")
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("_c")).distinct(), "minhash-ends")
+    ends = stored(pairs.select(F.col("a").alias("_c")).distinct().union(pairs.select("b").distinct()).distinct(), "minhash-ends")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
@@ -281,9 +285,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = by_hub.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     by_class = texts.select(F.col("_id").alias("_c"), "_text")
     links = stored(_confirmed(best, by_class, size, percent), "minhash-links")
-    comps = components(links)
-    labelled = stored(postings.select("_c", "_token", "_times").join(comps, postings["_c"] == comps["v"], "left").select("_c", "_token", "_times", F.coalesce("comp", "_c").alias("_comp")), "minhash-lists")
-    # For each list: its main component, and whether there is another one.
+    for best in (True, False):
+        cross = _cross_pairs(_unsettled(postings, components(links), signatures, block), percent, least, best)
+        if best:
+            cross = cross.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        links = links.unionByName(stored(_confirmed(cross, by_class, size, percent), "minhash-links"))
+    return members, links
+
+
+def _unsettled(postings: DataFrame, comps: DataFrame, signatures: DataFrame, block: int) -> DataFrame:
+    """The lists with more than one component, in blocks: their members, and as probes those outside the main component."""
+    labelled = postings.join(comps, postings["_c"] == comps["v"], "left").select("_c", "_token", "_times", F.coalesce("comp", "_c").alias("_comp"))
+    labelled = stored(labelled, "minhash-lists")
     sizes = labelled.groupBy("_token", "_comp").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("_token").agg(F.max(F.struct("k", "_comp"))["_comp"].alias("_main"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
     main = stored(main.select("_token", "_main"), "minhash-main")
@@ -292,8 +305,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns = ["_token", "_block", "_probe", "_outside", "_c", "_comp", "_n", "_sig", "_m0", "_m48"]
     placed = rest.withColumn("_block", F.pmod(F.xxhash64("_c"), F.col("_blocks"))).withColumn("_probe", F.lit(False))
     probes = rest.where("_outside").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).withColumn("_probe", F.lit(True))
-    cross = _cross_pairs(placed.select(columns).unionByName(probes.select(columns)), percent, least)
-    return members, links.unionByName(stored(_confirmed(cross, by_class, size, percent), "minhash-links"))
+    return placed.select(columns).unionByName(probes.select(columns))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
