@@ -193,9 +193,9 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
 
 
 def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
-    """Each row's ids."""
-    flat, ends = column.flatten().to_numpy().tolist(), np.cumsum([0, *pc.list_value_length(column).to_pylist()]).tolist()
-    return (flat[a:b] for a, b in zip(ends, ends[1:]))
+    """Each row's ids, one row's numbers as Python objects at a time."""
+    flat, ends = column.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(column).to_pylist()]).tolist()
+    return (flat[a:b].tolist() for a, b in zip(ends, ends[1:]))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
