@@ -7,15 +7,596 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store as st
+from .functions import bits, core, dates, strings
+from .operators import groups, joins, paths, windows
+from .plans import nodes, rules
+from .sources import readers
+from .streaming import dampen as rate
 
-def total_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("total"), F.avg("l_extendedprice").alias("mean")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of a loader ``t`` (t.orders is a table) and its SQL."""
+
+    def register(f):
+        key = name or f.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
+
+        QUERIES[key] = run
+        if sql:
+            SQL[key] = sql
+        return f
+
+    return register
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{table}.parquet")
+
+
+# -- steps and predicates ---------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1")
+def total_by_group(t):
+    return t.lineitem.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.round(core.total("l_extendedprice"), 2).alias("total"), F.round(F.avg("l_extendedprice"), 4).alias("mean")
+    )
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def path_project(t):
+    return t.orders.select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000")
+def path_filter_num(t):
+    return paths.where(t.orders, F.col("o_totalprice") > 100000).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'FURNITURE' AND NOT c_acctbal < 0")
+def path_filter_text(t):
+    return paths.where(t.customer, F.col("c_mktsegment") == "FURNITURE", ~core.truth(F.col("c_acctbal") < 0)).select("c_custkey", "c_name")
+
+
+@query("SELECT round(coalesce(sum(l_extendedprice), 0), 2) AS total FROM lineitem WHERE l_returnflag = 'R'")
+def path_sum(t):
+    return paths.where(t.lineitem, F.col("l_returnflag") == "R").agg(F.round(core.total("l_extendedprice"), 2).alias("total"))
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def path_position_first(t):
+    return paths.at_position(t.events, 1, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def path_position_last(t):
+    return paths.at_position(t.events, -1, ["user_id"], ["ts", "event_id"]).select("event_id", "user_id")
+
+
+@query("SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE value > 50) WHERE r = 2")
+def path_chained_pred(t):
+    return paths.at_position(paths.where(t.events, F.col("value") > 50), 2, ["user_id"], ["ts", "event_id"]).select("event_id")
+
+
+@query("SELECT event_id, position, last FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, count(*) OVER (PARTITION BY user_id) AS last FROM events) WHERE position <= 3")
+def path_position_of_last(t):
+    return paths.with_position(t.events, ["user_id"], ["ts", "event_id"], "position", "last").where("position <= 3").select("event_id", "position", "last")
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+def exists_child(t):
+    items = paths.where(t.lineitem, F.col("l_quantity") > 45)
+    return paths.having(t.orders, items, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def not_exists_child(t):
+    return paths.having_none(t.customer, t.orders, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def set_compare_existential(t):
+    return paths.having_value(t.customer, "c_nationkey", t.supplier, "s_nationkey").select("c_custkey")
+
+
+@query("SELECT o_custkey, list_has_any(list(DISTINCT o_orderstatus), ['F', 'P']) AS some_equal, len(list_distinct(list_concat(list(DISTINCT o_orderstatus), ['F']))) > 1 AS some_differ FROM orders GROUP BY 1")
+def set_compare_values(t):
+    own = t.orders.groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("s"))
+    return own.select("o_custkey", core.any_equal("s", F.array(F.lit("F"), F.lit("P"))).alias("some_equal"), core.any_differs("s", F.array(F.lit("F"))).alias("some_differ"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 1 UNION SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
+def union_nodes(t):
+    a, b = t.customer.where("c_nationkey = 1").select("c_custkey"), t.customer.where("c_acctbal > 5000").select("c_custkey")
+    return paths.union(["c_custkey"], a, b)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def set_intersection_difference(t):
+    of = lambda s: t.orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("c_custkey"))
+    return paths.difference(paths.intersection(t.customer.select("c_custkey"), of("F"), ["c_custkey"]), of("P"), ["c_custkey"])
+
+
+@query("SELECT DISTINCT c.c_custkey FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey")
+def common_content(t):
+    base = t.customer.select("c_custkey", F.col("c_nationkey").alias("nation"))
+    return paths.common(base, ["nation"], t.supplier.select(F.col("s_nationkey").alias("nation"))).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+def distinct_from_content(t):
+    base = t.customer.select("c_custkey", F.col("c_nationkey").alias("nation"))
+    return paths.distinct_from(base, ["nation"], t.supplier.select(F.col("s_nationkey").alias("nation"))).select("c_custkey")
+
+
+@query("SELECT e.event_id FROM events e LEFT JOIN (SELECT user_id, min(event_id) AS m FROM events WHERE event_type = 'purchase' GROUP BY 1) p USING (user_id) WHERE m IS NULL OR e.event_id < m")
+def set_leading(t):
+    return paths.leading(t.events, t.events.where("event_type = 'purchase'"), ["user_id"], "event_id").select("event_id")
+
+
+@query("SELECT e.event_id FROM events e JOIN (SELECT user_id, min(event_id) AS m FROM events WHERE event_type = 'purchase' GROUP BY 1) p USING (user_id) WHERE e.event_id > m")
+def set_trailing(t):
+    return paths.trailing(t.events, t.events.where("event_type = 'purchase'"), ["user_id"], "event_id").select("event_id")
+
+
+@query("SELECT o_orderkey, unnest(generate_series(o_custkey % 5, 2, CASE WHEN o_custkey % 5 <= 2 THEN 1 ELSE -1 END)) AS n FROM orders")
+def sequence_up_down(t):
+    own = t.orders.select("o_orderkey", (F.col("o_custkey") % 5).alias("a"), F.lit(2).cast("long").alias("b"))
+    return paths.each_sequence(own, "a", "b").select("o_orderkey", "n")
+
+
+# -- joins -------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def key_join(t):
+    return joins.by_key(t.orders, "o_custkey", t.customer, "c_custkey").select("o_orderkey", "c_name")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def cross_document_key(t):
+    return joins.by_key(t.nation, "n_regionkey", t.region, "r_regionkey").select("n_name", "r_name")
+
+
+@query("SELECT c_custkey, coalesce(CAST(o_orderkey AS VARCHAR), '') AS o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
+def left_missing_is_empty(t):
+    found = joins.by_key(t.customer, "c_custkey", t.orders.where("o_orderstatus = 'P'"), "o_custkey", "left")
+    return joins.or_empty(found, "o_orderkey").select("c_custkey", "o_orderkey")
+
+
+@query("""SELECT e.event_id, p.value AS price FROM events e LEFT JOIN LATERAL (
+  SELECT value FROM events q WHERE q.user_id = e.user_id AND q.event_type = 'purchase' AND q.ts <= e.ts ORDER BY q.ts DESC, q.value DESC LIMIT 1) p ON true WHERE e.event_type = 'error'""")
+def as_of_join(t):
+    buys = t.events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("price"))
+    return joins.as_of(t.events.where("event_type = 'error'").select("event_id", "user_id", "ts"), buys, ["user_id"], "ts", "at", ["price"]).select("event_id", "price")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, o_orderkey FROM lineitem JOIN orders ON o_custkey = l_partkey AND epoch_us(l_shipdate) // 86400000000 BETWEEN epoch_us(o_orderdate) // 86400000000 AND epoch_us(o_orderdate) // 86400000000 + 30")
+def range_join(t):
+    day = lambda c: F.floor(F.expr(f"unix_micros(cast({c} as timestamp))") / 86_400_000_000).cast("long")
+    points = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").alias("k"), day("l_shipdate").alias("at"))
+    spans = t.orders.select("o_orderkey", F.col("o_custkey").alias("k"), day("o_orderdate").alias("low"), (day("o_orderdate") + 30).alias("high"))
+    return joins.within(points, spans, ["k"], "at", "low", "high", 30).select("l_orderkey", "l_linenumber", "l_partkey", "o_orderkey")
+
+
+# -- groups and windows -------------------------------------------------------------------
+
+
+@query("SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def grand_total(t):
+    return groups.totals(t.orders, ["o_orderstatus", "o_orderpriority"], "o_totalprice").withColumn("total", F.round("total", 2))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1")
+def first_of_group(t):
+    return groups.first_of_group(t.orders, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS joined FROM nation GROUP BY 1")
+def join_strings(t):
+    return groups.joined_text(t.nation, ["n_regionkey"], "n_name", ", ", ["n_nationkey"])
+
+
+@query("SELECT c_nationkey, c_custkey FROM (SELECT *, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS r FROM customer) WHERE r = 1")
+def highest_of_group(t):
+    return groups.extremes(t.customer, ["c_nationkey"], "c_acctbal").select("c_nationkey", "c_custkey")
+
+
+@query("SELECT c_nationkey, c_custkey FROM (SELECT *, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS r FROM customer) WHERE r = 1")
+def lowest_of_group(t):
+    return groups.extremes(t.customer, ["c_nationkey"], "c_acctbal", largest=False).select("c_nationkey", "c_custkey")
+
+
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT o_custkey % 97 AS a, o_orderkey % 97 AS b FROM orders WHERE o_orderkey % 97 > o_custkey % 97 AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, b FROM r""")
+def closure(t):
+    links = t.orders.where("o_orderkey % 97 > o_custkey % 97 and o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").selectExpr("o_custkey % 97 as a", "o_orderkey % 97 as b")
+    return groups.reachable(links, "a", "b", most=100)
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM customer d WHERE d.c_nationkey = c.c_nationkey AND d.c_acctbal > c.c_acctbal) AS larger FROM customer c")
+def rank_count_greater(t):
+    return t.customer.select("c_custkey", windows.larger_siblings("c_acctbal", ["c_nationkey"]).cast("long").alias("larger"))
+
+
+@query("""SELECT event_id, round(CASE WHEN n > 0 THEN (s - value) / n ELSE 'NaN'::DOUBLE END, 4) AS mean FROM (SELECT event_id, value, sum(value) OVER w AS s, count(value) OVER w - 1 AS n
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))""")
+def trend_moving_mean(t):
+    return t.events.select("event_id", F.round(windows.around_mean("value", 3, ["user_id"], ["ts", "event_id"]), 4).alias("mean"))
+
+
+@query("SELECT event_id, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS before FROM events")
+def running_sum_exclusive(t):
+    return t.events.select("event_id", F.round(windows.running_before("value", ["user_id"], ["ts", "event_id"]), 2).alias("before"))
+
+
+@query("SELECT event_id, round(value - lag(value) OVER w, 2) AS delta, lead(event_id, 2) OVER w AS second_next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def sibling_steps(t):
+    by = (["user_id"], ["ts", "event_id"])
+    return t.events.select("event_id", F.round(F.col("value") - windows.sibling("value", -1, *by), 2).alias("delta"), windows.sibling("event_id", 2, *by).alias("second_next"))
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bought FROM events")
+def nearest_before(t):
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return t.events.select("event_id", windows.nearest_before(bought, ["user_id"], ["ts", "event_id"]).alias("bought"))
+
+
+@query("SELECT event_id, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN '' ELSE event_type END AS shown FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def print_once(t):
+    return t.events.select("event_id", windows.once("event_type", ["user_id"], ["ts", "event_id"]).alias("shown"))
+
+
+@query("SELECT DISTINCT o_orderkey, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) || '.' || dense_rank() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS label FROM orders")
+def number_levels(t):
+    return t.orders.select("o_orderkey", windows.numbered((["o_orderpriority"], ["o_custkey"]), (["o_orderpriority", "o_custkey"], ["o_orderkey"])).alias("label"))
+
+
+# -- order --------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 20")
+def sort_multi(t):
+    return paths.top(t.customer, 20, ("c_mktsegment", "text", "ascending"), ("c_acctbal", "number", "descending"), tie=["c_custkey"]).select("c_custkey")
+
+
+@query("SELECT p_partkey FROM part ORDER BY CAST(p_size AS VARCHAR), p_partkey LIMIT 25")
+def sort_number_as_text(t):
+    return paths.top(t.part, 25, ("p_size", "text", "ascending"), tie=["p_partkey"]).select("p_partkey")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 15 OFFSET 5")
+def sort_reverse_skip(t):
+    return paths.top(t.orders, 15, ("o_orderkey", "number", "descending"), tie=["o_orderkey"], skip=5).select("o_orderkey")
+
+
+# -- the store ----------------------------------------------------------------------------
+
+
+def _orders_request(where):
+    return st.Find(where, ["o_orderkey", "o_orderstatus", "o_totalprice"])
+
+
+C = st.Condition
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice >= 50000 AND (o_orderstatus = 'F' OR o_orderpriority ILIKE '1-%')")
+def store_find_nested(t):
+    return _orders_request(st.Every((C("o_totalprice", ">=", 50000), st.Some((C("o_orderstatus", "=", "F"), C("o_orderpriority", "like", "1-%")))))).on(t.orders)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 90000 OR o_custkey IN (1, 2, 3)")
+def store_find_flat(t):
+    flat = st.flat([C("o_orderstatus", "=", "F"), C("o_totalprice", "<", 90000), C("o_custkey", "in", [1, 2, 3])], ["and", "or"])
+    return t.orders.where(flat).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderpriority, '^[12]') AND o_orderstatus NOT IN ('P') ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 3")
+def store_find_sorted(t):
+    where = st.Every((C("o_orderpriority", "regexp", "^[12]"), C("o_orderstatus", "not-in", ["P"])))
+    return st.Find(where, ["o_orderkey"], [("o_totalprice", "descending"), ("o_orderkey", "ascending")], 10, 3).on(t.orders)
+
+
+CUSTOMER_FIELDS = [st.Field("c_custkey", "integer", primary=True), st.Field("c_name"), st.Field("c_nationkey", "integer"), st.Field("c_acctbal", "real"), st.Field("c_mktsegment", "text", default="NONE")]
+
+
+def _customers(t) -> st.Store:
+    import tempfile
+    import uuid
+
+    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    made = st.Store(t.spark, f"{root}/arbor-store-{uuid.uuid4().hex}")
+    made.load("customer", t.customer, CUSTOMER_FIELDS)
+    return made
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def store_update(t):
+    made = _customers(t)
+    made.update("customer", {"c_mktsegment": "DEBT"}, C("c_acctbal", "<", 0))
+    return made.table("customer").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT (c_nationkey = 3)")
+def store_delete(t):
+    made = _customers(t)
+    made.delete("customer", C("c_nationkey", "=", 3))
+    return made.table("customer").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey > 10 ORDER BY c_acctbal DESC, c_custkey LIMIT 7)")
+def store_delete_limit(t):
+    made = _customers(t)
+    made.delete("customer", C("c_nationkey", ">", 10), [("c_acctbal", "descending"), ("c_custkey", "ascending")], 7)
+    return made.table("customer").select("c_custkey")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer UNION ALL SELECT s_suppkey + 10000000, s_name, 'NONE' FROM supplier")
+def store_insert_default(t):
+    made = _customers(t)
+    made.insert("customer", t.supplier.select((F.col("s_suppkey") + 10_000_000).alias("c_custkey"), F.col("s_name").alias("c_name")))
+    return made.table("customer").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 1000 GROUP BY 1")
+def store_query(t):
+    t.nation.createOrReplaceTempView("arbor_nation")
+    return _customers(t).query("SELECT n_name, count(*) AS n FROM c JOIN arbor_nation ON c_nationkey = n_nationkey WHERE c_acctbal > :least GROUP BY 1", {"$least": 1000}, c="customer")
+
+
+# -- functions ----------------------------------------------------------------------------
+
+
+@query(r"""SELECT c_custkey, substring(c_name, 1, 1) AS s1, substring(c_name, 2, 3) AS s2, '' AS s3, split_part(c_name, '#', 1) AS b,
+CASE WHEN contains(c_name, '#') THEN substring(c_name, instr(c_name, '#') + 1) ELSE '' END AS a, '' AS missing, translate(c_name, 'Cu0', 'cU') AS tr,
+upper(c_name[1]) || c_name[2:] AS cap, ends_with(c_name, '1') AS e FROM customer""")
+def fn_text(t):
+    n = "c_name"
+    return t.customer.select(
+        "c_custkey", strings.substring(n, 0, 2).alias("s1"), strings.substring(n, 1.5, 2.6).alias("s2"), strings.substring(n, float("nan"), 3).alias("s3"),
+        strings.before(n, "#").alias("b"), strings.after(n, "#").alias("a"), strings.after(n, "@").alias("missing"), strings.translate(n, "Cu0", "cU").alias("tr"),
+        strings.capital(n).alias("cap"), strings.ends_with(n, "1").alias("e"),
+    )
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), ' ') AS norm, length(text) AS n, replace(replace(text, 'the', 'THE'), 'of', 'OF') AS rep,
+len(list_filter(string_split_regex(text, '[ \t\r\n]'), lambda x: x <> '')) AS tokens FROM documents""")
+def fn_documents(t):
+    return t.documents.select(
+        "doc_id", strings.normal_space("text").alias("norm"), strings.string_length("text").alias("n"), strings.replace("text", {"the": "THE", "of": "OF"}).alias("rep"),
+        F.size(strings.tokens("text")).alias("tokens"),
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"total_by_group": total_by_group}
-SQL: dict[str, str] = {
-    "total_by_group": "SELECT l_returnflag, count(*) AS n, sum(l_extendedprice) AS total, avg(l_extendedprice) AS mean FROM lineitem GROUP BY 1"
+@query(r"SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS x FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n') AS l FROM documents WHERE text <> '')")
+def fn_lines(t):
+    cut = t.documents.select("doc_id", F.posexplode(strings.lines("text")).alias("at", "x"))
+    return cut.select("doc_id", (F.col("at") + 1).alias("line"), "x")
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/([a-z]+)', 1) AS scheme, regexp_extract(url, '^(https?)://([^/]+)/([a-z]+)', 2) AS host,
+regexp_matches(url, 'UTM_', 'i') AS tagged, len(string_split_regex(url, '[/?]')) AS pieces FROM pages""")
+def fn_regex(t):
+    found = strings.match("url", "^(https?)://([^/]+)/([a-z]+)")
+    return t.pages.select(
+        "page_id", F.coalesce(F.get(found, F.lit(1)), F.lit("")).alias("scheme"), F.coalesce(F.get(found, F.lit(2)), F.lit("")).alias("host"),
+        strings.matches("url", "UTM_", ignore_case=True).alias("tagged"), F.size(strings.split("url", "[/?]")).alias("pieces"),
+    )
+
+
+@query("SELECT o_orderkey, concat_ws('-', nullif(o_orderstatus, 'F'), o_orderpriority) AS j, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE o_orderstatus END AS f, printf('%5s|%-12s|', o_orderstatus, o_orderpriority) AS p FROM orders")
+def fn_join_first_printf(t):
+    own = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus"))
+    return t.orders.select(
+        "o_orderkey", strings.join("-", own, "o_orderpriority").alias("j"), strings.first_of(own, "o_orderpriority").alias("f"),
+        strings.printed("%5s|%-12s|", "o_orderstatus", "o_orderpriority").alias("p"),
+    )
+
+
+@query("SELECT page_id, to_base64(encode(url)) AS enc, url AS dec, url AS back FROM pages")
+def fn_base64_uri(t):
+    return t.pages.select("page_id", strings.base64_encode("url").alias("enc"), strings.base64_decode(strings.base64_encode("url")).alias("dec"), strings.decode_uri(strings.encode_uri("url")).alias("back"))
+
+
+@query("""SELECT o_orderkey, CAST(floor(o_totalprice / 1000 + 0.5) AS DOUBLE) AS r, floor(-o_totalprice / 1000 + 0.5)::DOUBLE AS neg, CAST(fmod(-o_orderkey, 7) AS DOUBLE) + 0.0 AS m,
+CASE WHEN o_orderkey % 3 = 0 THEN 'Infinity' WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) || '.5' END AS txt, false AS nan_eq FROM orders WHERE o_orderkey > 0""")
+def fn_numbers(t):
+    k = F.col("o_orderkey")
+    shown = F.when(k % 3 == 0, core.divide(k, F.lit(0))).when(k % 3 == 1, k.cast("double")).otherwise(k + 0.5)
+    return t.orders.where("o_orderkey > 0").select(
+        "o_orderkey", core.half_up(F.col("o_totalprice") / 1000).alias("r"), core.half_up(-F.col("o_totalprice") / 1000).alias("neg"), F.when(k % 7 == 0, 0.0).otherwise(core.modulo(-k, F.lit(7))).alias("m"),
+        core.number_text(shown).alias("txt"), core.equal("o_orderpriority", "o_orderpriority").alias("nan_eq"),
+    )
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice < 0 THEN '-' ELSE '' END || format('{:,.2f}', abs(o_totalprice)) AS us, replace(replace(replace(format('{:,.2f}', o_totalprice), ',', '_'), '.', ','), '_', '.') AS eu FROM orders WHERE o_totalprice >= 0")
+def fn_format_number(t):
+    return t.orders.where("o_totalprice >= 0").select("o_orderkey", strings.format_number("o_totalprice", 2).alias("us"), strings.format_number("o_totalprice", 2, ".", ",").alias("eu"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%.0f', n) WHEN n < 1048576 THEN printf('%.1f', round(n / 1024.0, 1)) || 'K' ELSE printf('%.1f', round(n / 1048576.0, 1)) || 'M' END AS size
+FROM (SELECT o_orderkey, o_orderkey * 1024.0 AS n FROM orders)""")
+def fn_humanize(t):
+    return t.orders.select("o_orderkey", strings.human_size(F.col("o_orderkey") * 1024).alias("size"))
+
+
+@query("""SELECT o_orderkey, bin(o_orderkey & o_custkey)  AS a, bin(o_orderkey | o_custkey) AS o, bin(xor(o_orderkey, o_custkey)) AS x, '0x' || lower(hex(o_orderkey)) AS h, o_orderkey AS i,
+sign(o_orderkey - o_custkey)::INT AS c, bin(o_orderkey | 8) AS s FROM orders""")
+def fn_bits(t):
+    a, b = bits.from_int("o_orderkey"), bits.from_int("o_custkey")
+    short = lambda x: F.when(F.ltrim(x, F.lit("0")) == "", "0").otherwise(F.ltrim(x, F.lit("0")))
+    return t.orders.select(
+        "o_orderkey", short(bits.and_(a, b)).alias("a"), short(bits.or_(a, b)).alias("o"), short(bits.xor(a, b)).alias("x"), bits.to_hex(a).alias("h"), bits.to_int(a).alias("i"),
+        bits.compare(a, b).alias("c"), short(bits.set_bit(a, 3)).alias("s"),
+    )
+
+
+@query("""SELECT o_orderkey, translate(b, '01', '10') AS n, b[3:] || '00' AS l, lpad(b[:-4], 16, '0') AS r, lpad(b[:-4], 16, b[1]) AS ar
+FROM (SELECT o_orderkey, lpad(bin(o_orderkey), 16, '0') AS b FROM orders WHERE o_orderkey < 65536)""")
+def fn_bit_shifts(t):
+    b = bits.from_int("o_orderkey", 16)
+    return t.orders.where("o_orderkey < 65536").select("o_orderkey", bits.not_(b).alias("n"), bits.shift_left(b, 2).alias("l"), bits.shift_right(b, 3).alias("r"), bits.arithmetic_shift_right(b, 3).alias("ar"))
+
+
+@query("""SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, dayofyear(o_orderdate) AS dy, weekofyear(o_orderdate) AS w, dayofweek(o_orderdate) + 1 AS dw,
+monthname(o_orderdate) AS mn, dayname(o_orderdate) AS dn, (day(o_orderdate) - 1) // 7 + 1 AS nth, CAST(epoch(o_orderdate) AS BIGINT) AS secs, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m-%d') AS next,
+(year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0 AS leap FROM orders""")
+def fn_dates(t):
+    d = "o_orderdate"
+    return t.orders.select(
+        "o_orderkey", dates.year(d).alias("y"), dates.month_in_year(d).alias("m"), dates.day_in_month(d).alias("d"), dates.day_in_year(d).alias("dy"), dates.week_in_year(d).alias("w"), dates.day_in_week(d).alias("dw"),
+        dates.month_name(d).alias("mn"), dates.day_name(d).alias("dn"), dates.day_of_week_in_month(d).alias("nth"), dates.seconds(d).alias("secs"), dates.formatted(dates.add(d, months=1), "yyyy-MM-dd").alias("next"),
+        dates.leap_year(d).alias("leap"),
+    )
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(epoch(l_shipdate) - epoch(o_orderdate) AS BIGINT) AS secs, CAST(epoch(l_shipdate) - epoch(o_orderdate) AS BIGINT) AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def fn_durations(t):
+    both = joins.by_key(t.lineitem, "l_orderkey", t.orders, "o_orderkey").withColumn("secs", dates.difference("o_orderdate", "l_shipdate"))
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", "secs", dates.duration_seconds(dates.duration("secs")).alias("back"))
+
+
+@query("SELECT event_id, round(sqrt(value), 6) AS root, round(ln(value + 1), 6) AS log, round(atan2(value, 2), 6) AS angle, round(power(value, 0.5), 6) AS power, md5(event_type) AS m, sha1(event_type) AS s FROM events WHERE value >= 0")
+def fn_math_digests(t):
+    v = F.col("value")
+    return t.events.where("value >= 0").select(
+        "event_id", F.round(F.sqrt(v), 6).alias("root"), F.round(F.log(v + 1), 6).alias("log"), F.round(F.atan2(v, F.lit(2.0)), 6).alias("angle"), F.round(F.pow(v, F.lit(0.5)), 6).alias("power"),
+        F.md5(F.col("event_type").cast("binary")).alias("m"), F.sha1("event_type").alias("s"),
+    )
+
+
+# -- sources and sinks ----------------------------------------------------------------------
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, '' AS missing FROM events")
+def json_props(t):
+    return t.events.select("event_id", readers.json_field("props", "k").alias("k"), readers.json_field("props", "none").alias("missing"))
+
+
+@query("SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events")
+def json_members(t):
+    return readers.json_members(t.events.select("event_id", "props"), "props").select("event_id", "name", "value")
+
+
+@query("SELECT page_id, regexp_extract(url, '[?]utm_source=([^&#]*)', 1) AS feed FROM pages")
+def form_fields(t):
+    return t.pages.select("page_id", F.coalesce(F.element_at(readers.form_fields(readers.query_of("url")), "utm_source"), F.lit("")).alias("feed"))
+
+
+@query("SELECT c_custkey, '<customer id=\"' || c_custkey || '\"><name>' || c_name || '</name></customer>' AS xml, CAST(c_custkey AS VARCHAR) AS back FROM customer")
+def xml_round_trip(t):
+    made = t.customer.select("c_custkey", readers.element("customer", {"id": "c_custkey"}, readers.element("name", {}, readers.escaped("c_name"))).alias("xml"))
+    return made.select("c_custkey", "xml", readers.from_xml_text("xml", "_id string, name string")["_id"].alias("back"))
+
+
+@query("SELECT page_id, html AS back FROM pages")
+def markup_escapes(t):
+    return t.pages.select("page_id", readers.unescaped(readers.escaped("html")).alias("back"))
+
+
+@query("SELECT page_id, replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&') AS title FROM pages")
+def html_titles(t):
+    table = nodes.encode(t.pages, "page_id", "html")
+    titles = table.where("kind = 'elem' and name = 'title'")
+    found = nodes.string_values(table, titles)
+    return t.pages.select("page_id").join(found.withColumnRenamed("doc_id", "page_id"), "page_id", "left").select("page_id", F.coalesce("text", F.lit("")).alias("title"))
+
+
+@query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1")
+def html_links(t):
+    table = nodes.encode(t.pages, "page_id", "html")
+    links = nodes.step(table.where("kind = 'elem' and name = 'a'"), table, "attribute", F.col("n.name") == "href")
+    return links.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- trees ----------------------------------------------------------------------------------
+
+_TREE_SQL = """t0 AS (
+  SELECT c_custkey AS doc_id, NULL::BIGINT AS k1, NULL::BIGINT AS k2, 0 AS level, 'customer' AS name FROM customer
+  UNION ALL SELECT o_custkey, o_orderkey, NULL, 1, 'order' FROM orders
+  UNION ALL SELECT DISTINCT o_custkey, l_orderkey, l_linenumber, 2, 'item' FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+n AS (
+  SELECT doc_id, level, name, row_number() OVER w - 1 AS pre,
+    CASE level WHEN 0 THEN count(*) OVER (PARTITION BY doc_id) - 1 WHEN 1 THEN count(*) OVER (PARTITION BY doc_id, k1) - 1 ELSE 0 END AS size,
+    CASE level WHEN 1 THEN 0 WHEN 2 THEN (SELECT 1 + count(*) FROM t0 b WHERE b.doc_id = t0.doc_id AND b.k1 < t0.k1) END AS parent
+  FROM t0 WINDOW w AS (PARTITION BY doc_id ORDER BY k1 NULLS FIRST, k2 NULLS FIRST))"""
+
+
+def _tree(t) -> DataFrame:
+    items = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("doc"), F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2")).distinct()
+    levels = [(t.customer.select(F.col("c_custkey").alias("doc")), "customer"), (t.orders.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("k1")), "order"), (items, "item")]
+    return nodes.from_levels(levels, "doc", ["k1", "k2"])
+
+
+_AXIS_SQL = {
+    "self": "n.pre = c.pre", "child": "n.parent = c.pre", "parent": "n.pre = c.parent", "descendant": "n.pre > c.pre AND n.pre <= c.pre + c.size",
+    "descendant-or-self": "n.pre >= c.pre AND n.pre <= c.pre + c.size", "ancestor": "n.pre < c.pre AND c.pre <= n.pre + n.size", "ancestor-or-self": "n.pre <= c.pre AND c.pre <= n.pre + n.size",
+    "following": "n.pre > c.pre + c.size", "preceding": "n.pre + n.size < c.pre", "following-sibling": "n.parent = c.parent AND n.pre > c.pre", "preceding-sibling": "n.parent = c.parent AND n.pre < c.pre",
 }
+
+
+def _axis_query(axis: str, predicate: str) -> None:
+    def run(t):
+        tree = _tree(t)
+        found = nodes.step(tree.where("name <> 'customer'" if axis != "child" else "name <> 'item'"), tree, axis)
+        return found.where("position <= 2").groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("pre").alias("places"))
+
+    # The name of the context and of the nodes that a position keeps are those of the inner query.
+    order = "DESC" if axis in nodes.REVERSE else "ASC"
+    context = "c.name <> 'customer'" if axis != "child" else "c.name <> 'item'"
+    sql = f"""WITH {_TREE_SQL}
+SELECT doc_id, name, count(*) AS n, sum(pre)::BIGINT AS places FROM (
+  SELECT n.doc_id, n.name, n.pre, row_number() OVER (PARTITION BY c.doc_id, c.pre ORDER BY n.pre {order}) AS position
+  FROM n c JOIN n ON n.doc_id = c.doc_id AND {predicate} WHERE {context}) WHERE position <= 2 GROUP BY 1, 2"""
+    query(sql, name="axis_" + axis.replace("-", "_"))(run)
+
+
+for _axis, _predicate in _AXIS_SQL.items():
+    _axis_query(_axis, _predicate)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 150000 AND o_orderstatus = 'F' THEN 'large-done' WHEN o_orderstatus = 'F' THEN 'done' WHEN o_totalprice > 150000 THEN 'large' ELSE 'built-in' END AS rule,
+CASE WHEN o_totalprice > 150000 AND o_orderstatus = 'F' THEN 'D!' WHEN o_orderstatus = 'F' THEN 'D' WHEN o_totalprice > 150000 THEN o_orderpriority ELSE '' END AS result FROM orders""")
+def template_rules(t):
+    large, done = F.col("o_totalprice") > 150000, F.col("o_orderstatus") == "F"
+    made = [rules.Template("large", large, F.col("o_orderpriority")), rules.Template("done", done, F.lit("D")), rules.Template("large-done", large & done, F.lit("D!"), priority=0.5)]
+    return rules.apply_templates(t.orders, made, F.lit("")).select("o_orderkey", "rule", "result")
+
+
+@query(f"""WITH {_TREE_SQL}
+SELECT doc_id, pre, CASE level WHEN 0 THEN 'top' WHEN 1 THEN 'open' ELSE 'inner' END AS state, CASE level WHEN 0 THEN 'save' WHEN 1 THEN 'save' ELSE 'emit' END AS action,
+CASE level WHEN 0 THEN 'customer' WHEN 1 THEN 'purchase' ELSE 'line' END AS use_tag FROM n""")
+def rulebook_filter(t):
+    book = [("top", "customer", "save", "open", None), ("open", "order", "save", "inner", "purchase"), ("inner", "item", "emit", None, "line"), ("open", "item", "discard", None, None)]
+    return rules.apply_rulebook(_tree(t), book, "top").select("doc_id", "pre", "state", "action", "use_tag")
+
+
+# -- streams --------------------------------------------------------------------------------
+
+
+@query()
+def dampen_events(t):
+    return rate.dampen(t.events, "event_type", "ts", 3, 86400.0, ["event_id"]).select("event_id", "accepted")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def event_windows(t):
+    found = rate.windowed(t.events, "ts", "1 hour", "1 day", None, ["event_type"], "value")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
+def event_sessions(t):
+    found = rate.sessions(t.events, "ts", "1 hour", "6 hours", ["user_id"])
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
