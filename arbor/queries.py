@@ -408,13 +408,13 @@ def fn_base64_uri(t):
     return t.pages.select("page_id", strings.base64_encode("url").alias("enc"), strings.base64_decode(strings.base64_encode("url")).alias("dec"), strings.decode_uri(strings.encode_uri("url")).alias("back"))
 
 
-@query("""SELECT o_orderkey, CAST(floor(o_totalprice / 1000 + 0.5) AS DOUBLE) AS r, floor(-o_totalprice / 1000 + 0.5)::DOUBLE AS neg, CAST(fmod(-o_orderkey, 7) AS DOUBLE) + 0.0 AS m,
+@query("""SELECT o_orderkey, CAST(floor(o_totalprice / 1000 + 0.5) AS DOUBLE) AS r, floor(-o_totalprice / 1000 + 0.5)::DOUBLE AS neg, CAST(fmod(-o_orderkey, 7) AS BIGINT) AS m,
 CASE WHEN o_orderkey % 3 = 0 THEN 'Infinity' WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) || '.5' END AS txt, false AS nan_eq FROM orders WHERE o_orderkey > 0""")
 def fn_numbers(t):
     k = F.col("o_orderkey")
     shown = F.when(k % 3 == 0, core.divide(k, F.lit(0))).when(k % 3 == 1, k.cast("double")).otherwise(k + 0.5)
     return t.orders.where("o_orderkey > 0").select(
-        "o_orderkey", core.half_up(F.col("o_totalprice") / 1000).alias("r"), core.half_up(-F.col("o_totalprice") / 1000).alias("neg"), F.when(k % 7 == 0, 0.0).otherwise(core.modulo(-k, F.lit(7))).alias("m"),
+        "o_orderkey", core.half_up(F.col("o_totalprice") / 1000).alias("r"), core.half_up(-F.col("o_totalprice") / 1000).alias("neg"), core.modulo(-k, F.lit(7)).cast("long").alias("m"),
         core.number_text(shown).alias("txt"), core.equal("o_orderpriority", "o_orderpriority").alias("nan_eq"),
     )
 
