@@ -81,20 +81,21 @@ _VALID = {
     "card": _LUHN.format(d=_DIGITS.format(v="m.v")),
     "phone": f"length({_DIGITS.format(v='m.v')}) between 9 and 15",
 }
+#: What a text must have for a pattern to be worth a try, as SQL.
 _WORTH = {
-    "email": F.contains(F.col("_text"), F.lit("@")),
-    "ip": F.col("_text").rlike(r"[0-9]\.[0-9]"),
-    "card": F.col("_text").rlike("[0-9]"),
-    "phone": F.col("_text").rlike(r"\+[0-9]"),
-    "address": F.col("_text").rlike(r"@|\(at\)|\[at\]"),
-    "number": F.col("_text").rlike("[0-9]"),
+    "email": "contains(_text, '@')",
+    "ip": "_text rlike '[0-9][.][0-9]'",
+    "card": "_text rlike '[0-9]'",
+    "phone": "_text rlike '[+][0-9]'",
+    "address": "_text rlike '@|[(]at[)]|[[]at[]]'",
+    "number": "_text rlike '[0-9]'",
 }
 _SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """``docs`` (with _text) and the valid base spans of each kind, as arrays of (s, e, v)."""
-    found = {k: F.when(_WORTH[k], F.expr(_found(p))).otherwise(F.expr(f"cast(array() as {_SPANS})")) for k, p in BASE.items()}
+    found = {k: F.when(F.expr(_WORTH[k]), F.expr(_found(p))).otherwise(F.expr(f"cast(array() as {_SPANS})")) for k, p in BASE.items()}
     return docs.withColumns(found).withColumns({k: F.expr(f"filter({k}, m -> {_VALID[k]})") for k in KINDS})
 
 
@@ -102,7 +103,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """``docs`` (with _text and base spans) and _cands: (k, s, e, y, f...), y telling whether a base span of kind k overlaps."""
     out = docs
     for name, (pattern, _) in GENERATORS.items():
-        out = out.withColumn(f"_{name}", F.when(_WORTH[name], F.expr(_found(pattern))).otherwise(F.expr(f"cast(array() as {_SPANS})")))
+        out = out.withColumn(f"_{name}", F.when(F.expr(_WORTH[name]), F.expr(_found(pattern))).otherwise(F.expr(f"cast(array() as {_SPANS})")))
     tell = {k: {"email": "true", "ip": "m.v like '%.%.%.%'", "card": f"length({_DIGITS.format(v='m.v')}) >= 12", "phone": f"length({_DIGITS.format(v='m.v')}) between 7 and 15"}[k] for k in KINDS}
     lists = []
     for name, (_, kinds) in GENERATORS.items():
