@@ -408,7 +408,7 @@ def fn_base64_uri(t):
     return t.pages.select("page_id", strings.base64_encode("url").alias("enc"), strings.base64_decode(strings.base64_encode("url")).alias("dec"), strings.decode_uri(strings.encode_uri("url")).alias("back"))
 
 
-@query("""SELECT o_orderkey, CAST(floor(o_totalprice / 1000 + 0.5) AS DOUBLE) AS r, floor(-o_totalprice / 1000 + 0.5)::DOUBLE AS neg, CAST(fmod(-o_orderkey, 7) AS BIGINT) AS m,
+@query("""SELECT o_orderkey, CAST(floor(o_totalprice / 1000 + 0.5) AS DOUBLE) AS r, floor(-o_totalprice / 1000 + 0.5)::DOUBLE AS neg, -(o_orderkey % 7) AS m,
 CASE WHEN o_orderkey % 3 = 0 THEN 'Infinity' WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) || '.5' END AS txt, false AS nan_eq FROM orders WHERE o_orderkey > 0""")
 def fn_numbers(t):
     k = F.col("o_orderkey")
