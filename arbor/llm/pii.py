@@ -87,7 +87,7 @@ _WORTH = {
     "ip": "_text rlike '[0-9][.][0-9]'",
     "card": "_text rlike '[0-9]'",
     "phone": "_text rlike '[+][0-9]'",
-    "address": "_text rlike '@|[(]at[)]|[[]at[]]'",
+    "address": r"_text rlike r'@|\(at\)|\[at\]'",
     "number": "_text rlike '[0-9]'",
 }
 _SPANS = "array<struct<s:int,e:int,v:string>>"
