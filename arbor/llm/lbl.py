@@ -24,7 +24,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -92,6 +92,14 @@ class Model(NamedTuple):
         return cls(rows[:-1, :DIM].copy(), rows[:-1, DIM : 2 * DIM].copy(), rows[:-1, -1].copy(), rows[-1, :-1].reshape(2, DIM).copy())
 
 
+def _add(sums: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the one of ``sums`` that ``at`` names."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    sums[at[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+
+
 class Trainer:
     """Noise-contrastive estimation with Adagrad steps; the model's normaliser is taken as 1, which it learns."""
 
@@ -130,12 +138,12 @@ class Trainer:
         down = weight[:, None] / (1 + np.exp(-np.clip(fake, -30, 30)))
         dq = up[:, None] * m.target[word] - down @ m.target[noise]
         grads = [np.zeros_like(p) for p in m]
-        np.add.at(grads[1], word, up[:, None] * q)
+        _add(grads[1], word, up[:, None] * q)
         np.add.at(grads[1], noise, -(down.T @ q))
-        np.add.at(grads[2], word, up)
+        _add(grads[2], word, up)
         np.add.at(grads[2], noise, -down.sum(0))
-        np.add.at(grads[0], one, dq * m.place[0])
-        np.add.at(grads[0], two, dq * m.place[1])
+        _add(grads[0], one, dq * m.place[0])
+        _add(grads[0], two, dq * m.place[1])
         grads[3][0] = (dq * m.context[one]).sum(0)
         grads[3][1] = (dq * m.context[two]).sum(0)
         for p, g, s in zip(m, grads, self.squares):
@@ -184,17 +192,18 @@ def count_corpus(texts: DataFrame, head: int = HEAD) -> Corpus:
             least = n + 1
             break
         room -= k
-    rows = counts.where(short & (F.col("_n") >= least)).collect()  # head rows at most
-    known = {bytes(w): n for w, n in rows}
-    own = sorted(known, key=lambda w: (-known[w], w))[: CLASSES - RARE - 1]
-    known = {w: known[w] for w in sorted(known, key=lambda w: (-known[w], w))}
+    rows = counts.where(short & (F.col("_n") >= least)).toArrow()  # head rows at most
+    ordered = sorted(zip(rows.column("_n").to_pylist(), rows.column("_word").to_pylist()), key=lambda x: (-x[0], x[1]))
+    known = {w: n for n, w in ordered}
+    del rows, ordered
+    own = list(islice(known, CLASSES - RARE - 1))
     suffix = F.crc32(F.substring("_word", -2, 2)) % RARE + (CLASSES - RARE)
     sums = counts.where(~(short & (F.col("_n") >= least))).groupBy(suffix.alias("g")).agg(F.sum("_n"), F.count(F.lit(1))).collect()  # RARE rows
     rare = {g: [0, 0] for g in range(CLASSES - RARE, CLASSES)}
     for g, n, k in sums:
         rare[g][0] += n
         rare[g][1] += k
-    for w in list(known)[len(own) :]:
+    for w in islice(known, len(own), None):
         g = rare_class(w)
         rare[g][0] += known[w]
         rare[g][1] += 1
@@ -289,7 +298,7 @@ def _scored(docs: DataFrame, corpus: Corpus, model: Model) -> DataFrame:
         slot = np.zeros(CLASSES)
         for g, v in slots.items():
             slot[g] = v
-        for batch in slabs(batches, "_text"):
+        for batch in slabs(batches, "_text", 4 << 20):
             split = [words(t) for t in batch.column("_text").to_pylist()]
             n = np.array([len(w) + 1 for w in split], np.int64)
             at = np.fromiter(chain.from_iterable(chain(map(at_word.get, w, repeat(-1)), (-2,)) for w in split), np.int64, int(n.sum()))
