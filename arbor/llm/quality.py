@@ -174,24 +174,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (the id if None) and _score, 0 to 1, for each row."""
+    """The columns ``keep`` (the id if None) and _arbor_score, 0 to 1, for each row."""
     held = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MB at 18 bits
     names = [id_col] if keep is None else keep
-    schema = docs.select([f"`{c}`" for c in names]).schema.add("_score", "double")
+    schema = docs.select([f"`{c}`" for c in names]).schema.add("_arbor_score", "double")
     bits = int(math.log2(len(weights) - 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(bits), held.value.astype(np.float64)
-        for batch in slabs(batches, "_text"):
-            x = dots(w, *features.batch(batch.column("_text").to_pylist())) + w[-1]
+        for batch in slabs(batches, "_arbor_text"):
+            x = dots(w, *features.batch(batch.column("_arbor_text").to_pylist())) + w[-1]
             columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sigmoid(x))], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sigmoid(x))], names=[*names, "_arbor_score"])
 
-    return docs.select(*[f"`{c}`" for c in names], text_of(text_col).alias("_text")).mapInArrow(scored, schema)
+    return docs.select(*[f"`{c}`" for c in names], text_of(text_col).alias("_arbor_text")).mapInArrow(scored, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **how) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
     weights = learn(docs, labels, id_col, text_col, **how)
     out = score(docs, weights, id_col, text_col, keep=docs.columns)
-    return out.where(F.col("_score") >= threshold).drop("_score")
+    return out.where(F.col("_arbor_score") >= threshold).drop("_arbor_score")
