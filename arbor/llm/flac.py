@@ -307,7 +307,7 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, want
     at, order, linear, n = (at + 8 * order)[f], order[f], linear[f], n[f]
     depth = max(1, int(order.max(initial=0)))
     coefs, shift = np.zeros((len(f), depth), np.int64), np.zeros(len(f), np.int64)
-    for o in range(1, 5):
+    for o in range(1, min(4, depth) + 1):
         coefs[(order == o) & ~linear, :o] = FIXED[o]
     precision = np.where(linear, take(at, 4) + 1, 0)
     shift = np.where(linear, take(at + 4, 5), 0)
