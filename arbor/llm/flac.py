@@ -31,7 +31,7 @@ from .common import slabs, text_of
 FRAME, ORDER, PRECISION, SHIFT, UNIT = 1024, 4, 12, 10, 64
 RATE = 8000
 #: Samples encoded or decoded at a time.
-SLAB = 1 << 21
+SLAB = 1 << 20
 # Fixed values of the format: coefficients of the fixed predictors, block sizes by code.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 BLOCK_SIZES = (0, 192, 576, 1152, 2304, 4608, 0, 0, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768)
