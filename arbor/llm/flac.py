@@ -433,7 +433,7 @@ def with_pcm(media: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def at_sample(media: DataFrame, sample: int, media_col: str = "media") -> DataFrame:
-    """``media`` and the block that has the sample number ``sample``, decoded alone, in a column ``block``; null if there is none."""
+    """``media`` (without a column ``block``) and the block that has the sample number ``sample``, decoded alone, in a column ``block``; null if there is none."""
 
     def sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,4 +450,4 @@ def at_sample(media: DataFrame, sample: int, media_col: str = "media") -> DataFr
                 out.append((x[0, :n] + 128).astype(np.uint8).tobytes() if ok[0] else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "block"])
 
-    return media.mapInArrow(sought, media.schema.add("block", "binary"))
+    return media.mapInArrow(sought, T.StructType([*media.schema.fields, T.StructField("block", T.BinaryType())]))
