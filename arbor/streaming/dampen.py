@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -30,7 +31,7 @@ def dampen(events: DataFrame, key: str, time: str, most: int, period: float, ord
     order = order or []
     dealt = events.withColumn("_secs", F.expr(f"unix_micros(cast({time} as timestamp)) / 1e6"))
     dealt = dealt.repartition(key).sortWithinPartitions(key, "_secs", *order)
-    schema = events.schema.add("accepted", "boolean")
+    schema = T.StructType([*events.schema.fields, T.StructField("accepted", T.BooleanType())])
 
     def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, recent = object(), []
