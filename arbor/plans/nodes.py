@@ -1,7 +1,7 @@
 """Documents as tables of nodes: (doc_id, pre, size, level, parent, ord, kind, name, value).
 
-``pre`` is a node's place in document order, ``size`` how many nodes are below it (attributes
-aside); with them every axis is a comparison of two rows, and so a join. Texts are parsed
+``pre`` is a node's place in document order, ``size`` how many rows are below it (attributes
+have places too); with them every axis is a comparison of two rows, and so a join. Texts are parsed
 where they lie, a batch of documents at a time, by the parsers of Python's library; whatever
 follows is DataFrame work.
 """
@@ -65,7 +65,7 @@ class _Builder:
 
     def done(self) -> list[list]:
         for row in reversed(self.rows):
-            if row[4] is not None and row[6] != "attr":
+            if row[4] is not None:
                 self.rows[row[4]][2] += row[2] + 1
         return self.rows
 
@@ -179,20 +179,24 @@ def _pair(context: DataFrame, nodes: DataFrame, on) -> DataFrame:
     return context.alias("c").join(nodes.alias("n"), (F.col("c.doc_id") == F.col("n.doc_id")) & on(F.col))
 
 
+def _no_attribute(c) -> Column:
+    return c("n.kind") != "attr"
+
+
 #: The axes: when a node n is on the axis of a context node c of the same document.
 AXES = {
     "self": lambda c: c("n.pre") == c("c.pre"),
-    "child": lambda c: (c("n.parent") == c("c.pre")) & (c("n.kind") != "attr"),
+    "child": lambda c: (c("n.parent") == c("c.pre")) & _no_attribute(c),
     "attribute": lambda c: (c("n.parent") == c("c.pre")) & (c("n.kind") == "attr"),
     "parent": lambda c: c("n.pre") == c("c.parent"),
-    "descendant": lambda c: (c("n.pre") > c("c.pre")) & (c("n.pre") <= c("c.pre") + c("c.size")),
-    "descendant-or-self": lambda c: (c("n.pre") >= c("c.pre")) & (c("n.pre") <= c("c.pre") + c("c.size")),
+    "descendant": lambda c: (c("n.pre") > c("c.pre")) & (c("n.pre") <= c("c.pre") + c("c.size")) & _no_attribute(c),
+    "descendant-or-self": lambda c: (c("n.pre") >= c("c.pre")) & (c("n.pre") <= c("c.pre") + c("c.size")) & (_no_attribute(c) | (c("n.pre") == c("c.pre"))),
     "ancestor": lambda c: (c("n.pre") < c("c.pre")) & (c("c.pre") <= c("n.pre") + c("n.size")),
     "ancestor-or-self": lambda c: (c("n.pre") <= c("c.pre")) & (c("c.pre") <= c("n.pre") + c("n.size")),
-    "following": lambda c: c("n.pre") > c("c.pre") + c("c.size"),
-    "preceding": lambda c: c("n.pre") + c("n.size") < c("c.pre"),
-    "following-sibling": lambda c: (c("n.parent") == c("c.parent")) & (c("n.pre") > c("c.pre")),
-    "preceding-sibling": lambda c: (c("n.parent") == c("c.parent")) & (c("n.pre") < c("c.pre")),
+    "following": lambda c: (c("n.pre") > c("c.pre") + c("c.size")) & _no_attribute(c),
+    "preceding": lambda c: (c("n.pre") + c("n.size") < c("c.pre")) & _no_attribute(c),
+    "following-sibling": lambda c: (c("n.parent") == c("c.parent")) & (c("n.pre") > c("c.pre")) & _no_attribute(c) & (c("c.kind") != "attr"),
+    "preceding-sibling": lambda c: (c("n.parent") == c("c.parent")) & (c("n.pre") < c("c.pre")) & _no_attribute(c) & (c("c.kind") != "attr"),
 }
 REVERSE = {"parent", "ancestor", "ancestor-or-self", "preceding", "preceding-sibling"}
 
