@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -36,8 +37,10 @@ from .common import slabs, stored, text_of
 CHUNK, OVERLAP = 32768, 512
 #: Code points past a piece that the pattern may look at, at most.
 MARGIN = 8
-#: Distinct pieces whose ids a worker remembers; then it forgets them all.
-REMEMBERED = 400_000
+#: Distinct words with what is around them, and distinct pieces, whose ids a worker remembers; then it forgets them all.
+WORDS, PIECES = 300_000, 200_000
+#: White space other than spaces and line ends: texts with it aren't cut at spaces.
+_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -93,18 +96,33 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Memo(dict):
-    """The ids of pieces seen so far."""
+    """The ids of pieces seen so far, as tuples, which garbage collection need not follow."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self[piece] = merge(piece.encode("utf-8"), self.ranks)
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self[piece] = tuple(merge(piece.encode("utf-8"), self.ranks))
+        return ids
+
+
+class Words(dict):
+    """The ids of what follows a space up to the next space, with the space."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self[word] = tuple(self.codec.pieces(self.codec.pattern.findall(" " + word)))
         return ids
 
 
 class Codec:
-    """Ranks and a pre-token pattern, as a worker holds them."""
+    """Ranks and a pre-token pattern, as a worker holds them.
+
+    The pattern has to be one in which white space joins at most what follows it, and which
+    therefore has a boundary before a space that is next to anything but white space.
+    """
 
     _held: dict[tuple[str, str], Codec] = {}
 
@@ -112,7 +130,7 @@ class Codec:
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
         self.raw = {i: b for b, i in self.ranks.items()}
-        self.seen = Memo(self.ranks)
+        self.seen, self.words = Memo(self.ranks), Words(self)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -121,12 +139,19 @@ class Codec:
         return cls._held[path, pattern]
 
     def pieces(self, pieces: Iterable[str]) -> list[int]:
-        if len(self.seen) > REMEMBERED:
+        if len(self.seen) > PIECES:
             self.seen.clear()
         return list(chain.from_iterable(map(self.seen.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:
-        return self.pieces(self.pattern.findall(text))
+        if "  " in text or " \n" in text or text[-1:] == " " or _OTHER_SPACE.search(text):
+            return self.pieces(self.pattern.findall(text))
+        if len(self.words) > WORDS:
+            self.words.clear()
+        first, *rest = text.split(" ")
+        ids = self.pieces(self.pattern.findall(first))
+        ids.extend(chain.from_iterable(map(self.words.__getitem__, rest)))
+        return ids
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
