@@ -223,15 +223,15 @@ def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
     return (flat[a:b].tolist() for a, b in zip(ends, ends[1:]))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(_id, _key, _part, _ids): each text's ids. A long text has several rows, in order of _part, with a _key of its own; else that is null."""
+def _parts(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """The ids of short texts, and of the parts of long ones, apart, so that neither is made twice."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     encoder = lambda b: _encoded(b, path, pattern)
     schema = f"_id {kind}, _key long, _part int, _ids array<int>"
     columns = ["_id", "_key", "_part", "_text"]
     short = texts.where(~is_long(F.col("_text"), chunk)).withColumns({"_key": F.lit(None).cast("long"), "_part": F.lit(0)})
-    out = short.select(columns).mapInArrow(encoder, schema)
+    whole = short.select(columns).mapInArrow(encoder, schema)
 
     long = texts.where(is_long(F.col("_text"), chunk)).withColumn("_key", F.monotonically_increasing_id())
     chunks = stored(cut(long, "_text", chunk, overlap).repartition("_key", "_chunk"), "bpe-chunks")
@@ -247,13 +247,20 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         .agg(F.first("_id").alias("_id"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", "_text"))), lambda x: x["_text"]), "").alias("_text"))
     )
     pieces = pieces.where("_alone").select(columns).unionByName(joined.select(columns))
-    return out.unionByName(pieces.mapInArrow(encoder, schema))
+    return whole, pieces.mapInArrow(encoder, schema)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(_id, _key, _part, _ids): each text's ids. A long text has several rows, in order of _part, with a _key of its own; else that is null."""
+    whole, pieces = _parts(docs, path, pattern, id_col, text_col, chunk, overlap)
+    return whole.unionByName(pieces)
 
 
-def whole_ids(encoded: DataFrame) -> DataFrame:
+def whole_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(_id, _ids): one row for each text; only the parts of long texts are shuffled."""
-    parts = encoded.where("_key is not null").groupBy("_key").agg(F.first("_id").alias("_id"), F.sort_array(F.collect_list(F.struct("_part", "_ids"))).alias("_parts"))
-    return encoded.where("_key is null").select("_id", "_ids").unionByName(parts.select("_id", F.flatten(F.col("_parts._ids")).alias("_ids")))
+    whole, pieces = _parts(docs, path, pattern, id_col, text_col, chunk, overlap)
+    joined = pieces.groupBy("_key").agg(F.first("_id").alias("_id"), F.sort_array(F.collect_list(F.struct("_part", "_ids"))).alias("_parts"))
+    return whole.select("_id", "_ids").unionByName(joined.select("_id", F.flatten(F.col("_parts._ids")).alias("_ids")))
 
 
 def decode(ids: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
