@@ -2,18 +2,22 @@
 
 Base detectors find e-mail addresses, IPv4 addresses, card and phone numbers of strict form.
 High-recall generators propose further spans (which overlap each other and the base spans)
-as candidates of a kind, each with yes/no features of its format and its context. Boosted
-trees of depth two, one set for each kind, learn from all candidates of all documents which
-ones look like base spans: what is gathered for that is one count for each combination of
-features (at most 2**12 times kind and label, whatever the input's size), and what is used is
-a column of nested conditions. Each round leaves out every third feature in turn, so that no
-single mark (as the + of a phone number) decides alone. A kind's threshold is the lowest
-score at which the candidates above it are right to ``PRECISION``, by cross-validated scores
-of the combinations; candidates that reach it and overlap no base span are added.
+as candidates of a kind, each with yes/no features of its format and its context. A candidate
+is right if a base span of its kind overlaps it, and wrong if only one of another kind does or
+its format or context is contrary to the kind (``CONTRARY``). The others, look-alikes that no
+base rule covers, are not counted as wrong: boosted trees of depth two, one set for each kind,
+learn from the right and the wrong ones of all documents and judge the look-alikes. The marks
+of a kind's base form (``MARKS``, as the + of a phone number) are no features of that kind.
+What is gathered is one count for each combination of features (at most 2**13 times kind,
+label and fold, whatever the input's size), and what is used is a column of nested conditions.
+Each round leaves out every third feature in turn, so that none decides alone. A kind's
+threshold is the lowest score at which the labelled candidates above it are right to
+``PRECISION``, by scores of trees that learned without the document's fold (crc32 of the id);
+look-alikes that reach it and overlap no base span are added.
 
 Defined results: null and empty texts have no spans; starts and ends count code points, ends
 are exclusive; rows with the same id are searched one by one; without any base span of a kind
-nothing of that kind is added; an empty table gives an empty result; only the id and text
+nothing of that kind is added, nor with base spans in the documents of one fold only; an empty table gives an empty result; only the id and text
 columns are read, so others can't clash.
 """
 
@@ -38,7 +42,7 @@ BASE = {
 }
 #: What proposes candidates: the pattern, and the kinds proposed.
 GENERATORS = {
-    "address": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)*+", ("email",)),
+    "address": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?:(?:\.| \. | ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]++)*+", ("email",)),
     "number": (r"(?<![0-9])[+(]{0,2}[0-9](?:[\x20().+-]{0,2}[0-9])++", ("ip", "card", "phone")),
 }
 #: Features of a candidate, of its value v, digits d, and what stands before (b) and after (a) it.
@@ -55,9 +59,26 @@ FEATURES = {
     "octets": "v rlike '^(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:[.](?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$'",
     "glued": "b rlike '[A-Za-z0-9_=\"/]$' or a rlike '^[A-Za-z0-9_\"/]'",
     "named": "lower(b) rlike '(?:tel|phone|call|mobile|fax|mail|card|visa|credit|addr|contact|host|ip)[a-z]{0,8}[ :=.]{0,3}$'",
+    "shaped": r"v rlike r'(?:[^ ]\.| \. | ?(?:\(dot\)|\[dot\]) ?)[A-Za-z]{2,}$' or v rlike r'^[+(]{0,2}(?:[0-9]{1,3}[)]?[ .-]{1,2})?[(]?[0-9]{3}[)]?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$'",
+}
+#: The features of a kind that are marks of its base form: all base spans have them, or none.
+MARKS = {"email": ("at", "dotted", "parens", "separated"), "ip": ("octets", "separated"), "card": ("separated", "dotted"), "phone": ("plus",)}
+_TOLD = {
+    "ip": r"lower(b) rlike r'(?:^|[^a-z])(?:ip|host|addr)[a-z]{0,8}[ :=.]{0,3}$'",
+    "phone": r"lower(b) rlike r'(?:^|[^a-z])(?:tel|phone|call|mobile|fax|contact)[a-z]{0,8}[ :=.#]{0,4}(?:(?:me|us|at|on|number)[ :]{1,2}){0,2}$'",
+}
+_DATE = "v rlike '^(?:[0-9]{4}[-. ][0-9]{1,2}[-. ][0-9]{1,2}|[0-9]{1,2}[-. ][0-9]{1,2}[-. ][0-9]{4})(?:[^0-9].*)?$'"
+#: Phone numbers without +: a trunk or exit code, an area code in brackets, or groups of 3, 3 and 4.
+_DIALLED = f"v rlike '^[(]?(?:00|0[1-9])[0-9]*[)]?[ .-]' or v rlike '[(](?!19|20)[0-9]{{2,5}}[)][ .-]?[0-9]' or {FEATURES['shaped']}"
+#: Format or context that speaks against a kind; all else that no base span covers may be of it.
+CONTRARY = {
+    "email": f"not ({FEATURES['shaped']})",
+    "ip": f"not ({_TOLD['ip']}) or not ({FEATURES['octets'].replace('v rlike', "replace(v, ' ') rlike")})",
+    "card": f"not luhn or {FEATURES['glued']} or v rlike '^[0-9]+[.][0-9]+$'",
+    "phone": f"{FEATURES['glued']} or {FEATURES['octets']} or {_DATE} or length(d) > 15 or (not ({_TOLD['phone']}) and (length(d) < 9 or not ({_DIALLED})))",
 }
 CONTEXT = 24
-ROUNDS, SHRINK, RIDGE, PRECISION = 24, 0.3, 1.0, 0.98
+ROUNDS, SHRINK, RIDGE, PRECISION, FOLDS = 24, 0.3, 1.0, 0.98, 3
 
 
 def _found(pattern: str) -> str:
@@ -100,7 +121,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` (with _text and base spans) and _cands: (k, s, e, y, f...), y telling whether a base span of kind k overlaps."""
+    """``docs`` (with _text and base spans) and _cands: (k, s, e, y, known, no, f...): whether a base span of kind k overlaps, one of any kind, and whether it is contrary to k."""
     out = docs
     for name, (pattern, _) in GENERATORS.items():
         out = out.withColumn(f"_{name}", F.when(F.expr(_WORTH[name]), F.expr(_found(pattern))).otherwise(F.expr(f"cast(array() as {_SPANS})")))
@@ -111,7 +132,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             known = " or ".join(f"exists({b}, x -> x.s < m.e and x.e > m.s)" for b in KINDS)
             seen = f"transform(filter(_{name}, m -> {tell[k]}), m -> named_struct('v', m.v, 'd', {_DIGITS.format(v='m.v')}, 'b', substring(_text, greatest(1, m.s + 1 - {CONTEXT}), least({CONTEXT}, m.s)), 'a', substring(_text, m.e + 1, {CONTEXT}), 's', m.s, 'e', m.e, 'y', exists({k}, x -> x.s < m.e and x.e > m.s), 'known', {known}))"
             flags = ", ".join(f"'{f}', coalesce({_bound(sql)}, false)" for f, sql in FEATURES.items())
-            lists.append(f"transform({seen}, c -> named_struct('k', '{k}', 's', c.s, 'e', c.e, 'y', c.y, 'known', c.known, {flags}))")
+            lists.append(f"transform({seen}, c -> named_struct('k', '{k}', 's', c.s, 'e', c.e, 'y', c.y, 'known', c.known, 'no', coalesce({_bound(CONTRARY[k])}, false), {flags}))")
     return out.withColumn("_cands", F.expr(f"concat({', '.join(lists)})")).drop(*[f"_{g}" for g in GENERATORS])
 
 
@@ -164,11 +185,11 @@ def _best_split(rows: list[tuple[dict[str, bool], float, float]], features: list
     return best
 
 
-def boost(cells: list[Cell], rounds: int = ROUNDS) -> list[Tree]:
-    """Gradient boosting with the logistic loss on counted combinations: its cost doesn't depend on the documents."""
+def boost(cells: list[Cell], rounds: int = ROUNDS, marks: tuple[str, ...] = ()) -> list[Tree]:
+    """Gradient boosting with the logistic loss on counted combinations, without the marks: its cost doesn't depend on the documents."""
     scores, trees = [0.0] * len(cells), []
     for t in range(rounds):
-        features = [f for i, f in enumerate(FEATURES) if i % 3 != t % 3]
+        features = [f for i, f in enumerate(FEATURES) if i % 3 != t % 3 and f not in marks]
         rows = []
         for c, s in zip(cells, scores):
             p, n = _sigmoid(s), c.wrong + c.right
@@ -188,7 +209,11 @@ def boost(cells: list[Cell], rounds: int = ROUNDS) -> list[Tree]:
 
 def threshold(cells: list[Cell], trees: list[Tree]) -> float | None:
     """The lowest score from which on the candidates are right to PRECISION; None if there is none."""
-    scored = sorted(((sum(t.value(c.flags) for t in trees), c.wrong, c.right) for c in cells), reverse=True)
+    return _lowest([(sum(t.value(c.flags) for t in trees), c.wrong, c.right) for c in cells])
+
+
+def _lowest(scored: list[tuple[float, int, int]]) -> float | None:
+    scored = sorted(scored, reverse=True)
     wrong = right = 0
     best = None
     for i, (s, w, r) in enumerate(scored):
@@ -200,22 +225,35 @@ def threshold(cells: list[Cell], trees: list[Tree]) -> float | None:
 
 
 def learn(found: DataFrame) -> dict[str, tuple[list[Tree], float]]:
-    """For each kind that can be told: its trees and threshold, from the _cands of all rows."""
-    flat = found.select(F.explode("_cands").alias("c")).select("c.k", "c.y", *[f"c.{f}" for f in FEATURES])
-    counts = flat.groupBy("k", "y", *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()  # 2**12 rows at most for each kind and label
-    kinds: dict[str, dict[tuple, list[int]]] = {}
+    """For each kind that can be told: its trees, from the labelled _cands of all rows, and its threshold, from scores out of their folds."""
+    fold = F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
+    flat = found.select(fold.alias("fold"), F.explode("_cands").alias("c")).where("c.y or c.known or c.no").select("fold", "c.k", "c.y", *[f"c.{f}" for f in FEATURES])
+    counts = flat.groupBy("k", "fold", "y", *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()  # 2**13 rows at most for each kind, fold and label
+    kinds: dict[str, list[dict[tuple, list[int]]]] = {}
     for row in counts:
-        kinds.setdefault(row["k"], {}).setdefault(tuple(row[f] for f in FEATURES), [0, 0])[int(row["y"])] += row["n"]
+        folds = kinds.setdefault(row["k"], [{} for _ in range(FOLDS)])
+        folds[row["fold"]].setdefault(tuple(row[f] for f in FEATURES), [0, 0])[int(row["y"])] += row["n"]
     out = {}
-    for k, combos in sorted(kinds.items()):
-        cells = [Cell(dict(zip(FEATURES, flags)), w, r) for flags, (w, r) in sorted(combos.items())]
-        trees = boost(cells)
-        at = threshold(cells, trees)
+    for k, folds in sorted(kinds.items()):
+        scored = []
+        for held in folds:
+            trees = boost(_cells([x for x in folds if x is not held]), marks=MARKS[k])
+            scored += [(sum(t.value(c.flags) for t in trees), c.wrong, c.right) for c in _cells([held])]
+        at = _lowest(scored)
         if at is not None:
-            out[k] = (trees, at)
+            out[k] = (boost(_cells(folds), marks=MARKS[k]), at)
     return out
 
 
+def _cells(folds: list[dict[tuple, list[int]]]) -> list[Cell]:
+    """The combinations of some folds together."""
+    sums: dict[tuple, list[int]] = {}
+    for flags, (w, r) in (x for f in folds for x in f.items()):
+        n = sums.setdefault(flags, [0, 0])
+        n[0], n[1] = n[0] + w, n[1] + r
+    return [Cell(dict(zip(FEATURES, flags)), w, r) for flags, (w, r) in sorted(sums.items())]
+
+
 def with_spans(found: DataFrame, models: dict[str, tuple[list[Tree], float]]) -> DataFrame:
     """``found`` and _spans: base and added spans as (k, s, e), by kind and start.
 
@@ -223,7 +261,7 @@ def with_spans(found: DataFrame, models: dict[str, tuple[list[Tree], float]]) ->
     """
     if models:
         margin = lambda c: F.coalesce(*[F.when(c["k"] == k, sum((t.column(c) for t in trees), F.lit(-at))) for k, (trees, at) in models.items()], F.lit(-1.0))
-        scored = F.transform(F.filter("_cands", lambda c: ~c["known"]), lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), margin(c).alias("m")))
+        scored = F.transform(F.filter("_cands", lambda c: ~c["known"] & ~c["no"]), lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), margin(c).alias("m")))
         found = found.withColumn("_new", F.filter(scored, lambda c: c["m"] >= -1e-9))
         rank = " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS))
         better = f"x.s < c.e and x.e > c.s and (x.m > c.m or (x.m = c.m and (case x.k {rank} end) < (case c.k {rank} end)))"

@@ -339,6 +339,19 @@ def test_boosted_trees_add_likely_spans(spark):
     assert at is not None and sum(t.value(cells[1].flags) for t in trees) < 0 < at
 
 
+def test_look_alikes_without_the_base_form_are_added(spark):
+    ways = ["reach us at +1 ({0:03}) 555-{0:04} now", "dial +49 {0:03} 555 {0:04}", "bob{0}@host{0}.example.com wrote"]
+    rows = [(i, ways[i % 3].format(i + 100)) for i in range(90)]
+    # As many look-alikes as base spans, and plain numbers, dates and places that are none.
+    phones = [(1000 + i, f"reach us at (212) 555-{i:04} now") for i in range(60)]
+    mails = [(2000 + i, f"write to ann{i} (at) host{i} [dot] org. Then wait") for i in range(30)]
+    plain = [(3000 + i, f"order 20240{i:03}123 of 2024-01-15 10:30, meet me (at) home. It is 12345.6789{i:03}") for i in range(60)]
+    found = {r._id: [(m.k, m.s, m.e) for m in r._spans] for r in pii.find(spark.createDataFrame(rows + phones + mails + plain, "doc_id long, text string")).collect()}
+    assert all(found[d] == [("phone", 12, 26)] for d, _ in phones)
+    assert all(found[d] == [("email", 9, t.index(". Then"))] for d, t in mails)
+    assert not any(found[d] for d, _ in plain)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("call +1 (555) 555-0199 now",)], "text string")
     spans = F.array(F.struct(F.lit("phone").alias("k"), F.lit(5).alias("s"), F.lit(22).alias("e")))
