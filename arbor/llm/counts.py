@@ -5,7 +5,9 @@ space or a finished token), the prefixes of runs of letters and of runs of other
 the beginnings of contractions; each transition carries the number of tokens that it emits:
 a transition that ends a run emits the count of that run's merges. States are made as texts
 first reach them (the transducer is deterministic, so they are the same wherever they are
-made) and forgotten together when there are more than ``MAX_STATES``. White space leads back
+made) and forgotten together when there are more than ``MAX_STATES``. A run of more than
+``MAX_RUN`` characters is followed by its kind and start only, without states of its own, and
+its merges are counted from a heap: memory in proportion to its length. White space leads back
 to START from every state, so what lies between white space is a path from START to START:
 paths that were taken before are kept as single transitions with their emitted counts.
 
@@ -21,9 +23,11 @@ one by one; an empty table gives an empty result; only the id and text columns a
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 from operator import attrgetter, getitem
@@ -40,6 +44,11 @@ from .common import slabs, text_of
 
 #: Code points of a chunk; states and whole paths that a worker holds; chunk maps composed in one task at a time.
 CHUNK, MAX_STATES, MAX_PATHS, FAN_IN = 32768, 250_000, 1_000_000, 256
+#: Characters of a run that has states, and of a stretch whose count is kept; characters between looks at the number of states.
+MAX_RUN, PIECE = 64, 4096
+#: Characters of a run after which no contraction is open any more.
+_SETTLED = 8
+_LONG = regex.compile(r"\p{L}{%d,}+|[^\s\p{L}\p{N}]{%d,}+" % (MAX_RUN + 1, MAX_RUN + 1))
 #: White space at which a chunk's head and tail are cut off: no normalisation reaches across it.
 _CUT = re.compile(r"[ \t\n]")
 # Fixed values of the pre-tokenizer: what an apostrophe at a token's start takes along.
@@ -85,7 +94,9 @@ class Paths(dict):
         self.fst = fst
 
     def __missing__(self, stretch: str) -> int:
-        n = self[stretch] = self.fst.run(stretch)
+        n = self.fst.run(stretch)
+        if len(stretch) <= MAX_RUN:
+            self[stretch] = n
         return n
 
 
@@ -106,7 +117,7 @@ class Transducer:
         self.suffix = model["model"]["end_of_word_suffix"] or ""
         special = [t["content"] for t in model["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.signs, self.kinds = byte_signs(), {}
+        self.signs, self.kinds, self.joins = byte_signs(), {}, {}
         self.paths = Paths(self)
         self.reset()
 
@@ -133,6 +144,8 @@ class Transducer:
         """Tokens of one pre-token: its merges, lowest rank first."""
         parts = [self.signs[b] for b in run.encode("utf-8")]
         parts[-1] += self.suffix
+        if len(parts) > MAX_RUN:
+            return self._merged_long(parts)
         get, none = self.ranks.get, 1 << 60
         pairs = [get(p, none) for p in zip(parts, parts[1:])]
         while pairs and (low := min(pairs)) < none:
@@ -145,6 +158,27 @@ class Transducer:
                 pairs[i] = get((parts[i], parts[i + 1]), none)
         return len(parts)
 
+    def _merged_long(self, parts: list[str | None]) -> int:
+        """The same for long pre-tokens, with a heap of (rank, place) over a linked list: n log n."""
+        n, get, joins = len(parts), self.ranks.get, self.joins
+        after, before, left = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), n
+        heap = [r << 40 | i for i in range(n - 1) if (r := get((parts[i], parts[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = divmod(heapq.heappop(heap), 1 << 40)
+            if parts[i] is None or (j := after[i]) >= n or get((parts[i], parts[j])) != rank:
+                continue  # what stood here was merged with another neighbour
+            if rank not in joins:
+                joins[rank] = parts[i] + parts[j]
+            parts[i], parts[j], left = joins[rank], None, left - 1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (r := get((parts[k], parts[after[k]]))) is not None:
+                    heapq.heappush(heap, r << 40 | k)
+        return left
+
     def step(self, state: State, char: str) -> State:
         """The transition from ``state`` on ``char``, made when first needed."""
         kind, prefix = self.kind_of(char), state.prefix
@@ -193,9 +227,36 @@ class Transducer:
         """Tokens emitted from START to the text's end, character by character."""
         if self.states > MAX_STATES:
             self.reset()
+        if len(text) > MAX_RUN:
+            return self._run_long(text)
         states = list(accumulate(text, getitem, initial=self.start))
         return sum(map(_EMIT, states)) + self._flush(states[-1])
 
+    def _run_long(self, text: str) -> int:
+        """The same for long texts: runs over MAX_RUN are skipped once their start is known."""
+        state, at, n = self.start, 0, 0
+        for m in _LONG.finditer(text):
+            state, k = self._follow(state, text, at, m.start() + _SETTLED)
+            n += k + self.run_count(text[m.start() + _SETTLED - len(state.prefix) : m.end()])
+            state, at = self.start, m.end()
+        state, k = self._follow(state, text, at, len(text))
+        return n + k + self._flush(state)
+
+    def _follow(self, state: State, text: str, start: int, end: int) -> tuple[State, int]:
+        """The state at ``end`` and the tokens emitted on the way; states are forgotten on the way too."""
+        n = 0
+        for i in range(start, end, PIECE):
+            if self.states > MAX_STATES:
+                prefix = state.prefix
+                self.reset()
+                state = self.start
+                for c in prefix:
+                    state = state[c]
+            states = list(accumulate(text[i : min(i + PIECE, end)], getitem, initial=state))
+            n += sum(map(_EMIT, states)) - state.emit
+            state = states[-1]
+        return state, n
+
     def _run(self, text: str) -> int:
         if len(self.paths) > MAX_PATHS:
             self.paths.clear()

@@ -232,6 +232,23 @@ def test_state_maps_compose_in_any_grouping():
         assert fst.total(left) == fst.total(fst.scan(maps)) == len(own.encode(text, add_special_tokens=False).ids)
 
 
+def test_long_runs_need_no_state_for_each_character(spark, monkeypatch):
+    fst, own, rng = counts.Transducer(P.path(queries.WORD_BPE)), Tokenizer.from_file(P.path(queries.WORD_BPE)), random.Random(4)
+    library = lambda t: len(own.encode(t, add_special_tokens=False).ids)
+    fst.count("a" * 5000)
+    assert fst.states < 200
+    mixed = "".join(rng.choices("aeinorstlé", k=3000))
+    for text in ["a" * 200_000, "=" * 200_000, mixed * 20, "'" * 500 + "s" * 500, "x'" + "s" * 300, "'" + "ve" * 200, "1'l" + "=" * 99 + "2", "a" * 64, "a" * 65, "=" * 64 + "'re" * 70]:
+        assert fst.count(text) == library(text), text[:20]
+    monkeypatch.setattr(counts, "MAX_STATES", 50)
+    monkeypatch.setattr(counts, "PIECE", 7)
+    for _ in range(300):
+        text = "".join(rng.choices(["a", "'", "s", "=", "1", "'re", "'v", "e" * 70, "-" * 66, "'" * 65, "Σ", "́"], k=rng.randrange(40)))
+        assert fst.count(text) == library(text), text
+    df = spark.createDataFrame([(1, "a" * 200_000)], "doc_id long, text string")
+    assert counts.token_counts(df, P.path(queries.WORD_BPE)).first().n_tokens == library("a" * 200_000)
+
+
 # 7 -------------------------------------------------------------------------------------
 
 
