@@ -448,6 +448,14 @@ def fn_bit_shifts(t):
     return t.orders.where("o_orderkey < 65536").select("o_orderkey", bits.not_(b).alias("n"), bits.shift_left(b, 2).alias("l"), bits.shift_right(b, 3).alias("r"), bits.arithmetic_shift_right(b, 3).alias("ar"))
 
 
+@query("""SELECT o_orderkey, translate(b, '01', '10') AS n, b[3:] || '00' AS l, lpad(b[:-4], 64, '0') AS r, lpad(b[:-4], 64, b[1]) AS ar
+FROM (SELECT o_orderkey, lpad(bin(o_orderkey), 64, '0') AS b FROM orders)""")
+def fn_bit_shifts_all(t):
+    """The shifts of fn_bit_shifts over all orders, in a width that holds every key."""
+    b = bits.from_int("o_orderkey", 64)
+    return t.orders.select("o_orderkey", bits.not_(b).alias("n"), bits.shift_left(b, 2).alias("l"), bits.shift_right(b, 3).alias("r"), bits.arithmetic_shift_right(b, 3).alias("ar"))
+
+
 @query("""SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, dayofyear(o_orderdate) AS dy, weekofyear(o_orderdate) AS w, dayofweek(o_orderdate) + 1 AS dw,
 monthname(o_orderdate) AS mn, dayname(o_orderdate) AS dn, (day(o_orderdate) - 1) // 7 + 1 AS nth, CAST(epoch(o_orderdate) AS BIGINT) AS secs, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m-%d') AS next,
 (year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0 AS leap FROM orders""")

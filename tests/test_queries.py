@@ -17,6 +17,14 @@ def test_without_sql(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_all_orders_are_shifted(spark):
+    big = "/root/testdata/sf0.1"
+    keys = spark.read.parquet(f"{big}/orders.parquet").select("o_orderkey")
+    assert keys.where("o_orderkey >= 65536").count() > 0
+    assert QUERIES["fn_bit_shifts_all"](spark, big).join(keys, "o_orderkey").count() == keys.count()
+    check(spark, QUERIES["fn_bit_shifts_all"], SQL["fn_bit_shifts_all"], big)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
