@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.core import total
+from ..llm.common import stored
 
 
 def first_of_group(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
@@ -32,16 +33,16 @@ def extremes(df: DataFrame, key: list[str], value: str, largest: bool = True) ->
     return df.withColumn("_rank", F.rank().over(Window.partitionBy(*key).orderBy(order))).where("_rank = 1").drop("_rank")
 
 
-def reachable(links: DataFrame, source: str, target: str, most: int = 50) -> DataFrame:
-    """(source, target) of all paths along the links: each round joins only what the last one found.
+def reachable(links: DataFrame, source: str, target: str) -> DataFrame:
+    """(source, target) of all paths along the links, whatever their length; cycles end too.
 
-    Depth is bounded by ``most`` rounds, as calls are in the language that this comes from.
+    Each round joins what the last one found with all that is known, so paths of up to twice
+    the length are found; it goes on until a round adds nothing. Lineage ends in a stored table.
     """
-    found = links.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct()
-    step, new = found.select(F.col("a").alias("b"), F.col("b").alias("c")), found
-    for _ in range(most):
-        new = new.join(step, "b").select("a", F.col("c").alias("b")).distinct().join(found, ["a", "b"], "left_anti").persist()
-        if new.isEmpty():
-            break
+    found = new = stored(links.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct(), "reachable")
+    while not new.isEmpty():
+        step = found.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        new = new.join(step, "b").select("a", F.col("c").alias("b")).distinct().join(found, ["a", "b"], "left_anti")
+        new = stored(new, "reachable")
         found = found.unionByName(new)
     return found.select(F.col("a").alias(source), F.col("b").alias(target))

@@ -221,7 +221,17 @@ def lowest_of_group(t):
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, b FROM r""")
 def closure(t):
     links = t.orders.where("o_orderkey % 97 > o_custkey % 97 and o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").selectExpr("o_custkey % 97 as a", "o_orderkey % 97 as b")
-    return groups.reachable(links, "a", "b", most=100)
+    return groups.reachable(links, "a", "b")
+
+
+@query("""WITH RECURSIVE l AS (SELECT a, b FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, epoch_us(lead(o_orderdate) OVER w) - epoch_us(o_orderdate) AS gap
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE gap <= 90 * 86400000000),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, b FROM r""")
+def closure_orders(t):
+    """Each order with all later ones of its customer that follow without a gap of over 90 days."""
+    at, by = F.expr("unix_micros(cast(o_orderdate as timestamp))"), (["o_custkey"], ["o_orderdate", "o_orderkey"])
+    links = t.orders.select(F.col("o_orderkey").alias("a"), windows.sibling("o_orderkey", 1, *by).alias("b"), (windows.sibling(at, 1, *by) - at).alias("gap"))
+    return groups.reachable(links.where("gap <= 90 * 86400000000"), "a", "b")
 
 
 @query("SELECT c_custkey, (SELECT count(*) FROM customer d WHERE d.c_nationkey = c.c_nationkey AND d.c_acctbal > c.c_acctbal) AS larger FROM customer c")

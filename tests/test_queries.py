@@ -1,5 +1,6 @@
 import pytest
 
+from arbor.operators import groups
 from arbor.queries import QUERIES, SQL
 
 from .oracle import check
@@ -25,6 +26,12 @@ def test_all_orders_are_shifted(spark):
     check(spark, QUERIES["fn_bit_shifts_all"], SQL["fn_bit_shifts_all"], big)
 
 
+def test_closure_follows_long_paths_and_cycles(spark):
+    links = [(i, i + 1) for i in range(150)] + [(1000, 1001), (1001, 1002), (1002, 1000)]
+    got = {tuple(r) for r in groups.reachable(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == {(i, j) for i in range(151) for j in range(i + 1, 151)} | {(i, j) for i in range(1000, 1003) for j in range(1000, 1003)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
