@@ -7,6 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..llm.common import stored
+
+#: Levels of a rulebook between stored tables.
+STORE_EVERY = 8
+
 
 @dataclass(frozen=True)
 class Template:
@@ -37,12 +42,13 @@ def rule_table(spark, rules: list[tuple[str, str, str, str | None, str | None]])
     return spark.createDataFrame(rules, "state string, tag string, action string, new_state string, use_tag string")
 
 
-def apply_rulebook(nodes: DataFrame, rules: list[tuple[str, str, str, str | None, str | None]], start: str, default: str = "discard", depth: int = 64) -> DataFrame:
+def apply_rulebook(nodes: DataFrame, rules: list[tuple[str, str, str, str | None, str | None]], start: str, default: str = "discard") -> DataFrame:
     """Adds to each element its state, action and tag; ``nodes`` has doc_id, pre, parent, level, name.
 
     The state of an element's children is its rule's new state, or its own; so states are
     found from the top down, a level of all documents at a time: as many joins as documents
-    are deep. Rules are a few rows, which Spark broadcasts.
+    are deep. Rules are a few rows, which Spark broadcasts. Every few levels lineage ends in a
+    stored table, so that plans don't grow with the depth.
     """
     book = rule_table(nodes.sparkSession, rules)
     first = book.dropDuplicates(["state", "tag"]) if len({r[:2] for r in rules}) < len(rules) else book
@@ -57,8 +63,10 @@ def apply_rulebook(nodes: DataFrame, rules: list[tuple[str, str, str, str | None
         return ruled(elements.withColumn("state", F.lit(start))).drop("below")
     level = ruled(elements.where(F.col("level") == top[0]).withColumn("state", F.lit(start)))
     out = level
-    for d in range(top[0] + 1, min(top[1], top[0] + depth) + 1):
+    for d in range(top[0] + 1, top[1] + 1):
         above = level.select("doc_id", F.col("pre").alias("parent"), F.col("below").alias("state"))
         level = ruled(elements.where(F.col("level") == d).join(above, ["doc_id", "parent"]))
+        if (d - top[0]) % STORE_EVERY == 0:
+            level = stored(level, "rulebook")
         out = out.unionByName(level)
     return out.drop("below")

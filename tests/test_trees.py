@@ -59,6 +59,12 @@ def test_rulebook_states_come_from_above(spark, table):
     assert got == {(1, "s", "save", "a"), (3, "t", "emit", "B"), (6, "t", "discard", "c"), (8, "t", "emit", "B")}
 
 
+def test_rulebook_reaches_the_deepest_level(spark):
+    deep = nodes.encode(spark.createDataFrame([(1, "<a>" * 100 + "</a>" * 100)], "id long, text string"), "id", "text", nodes.parse_xml).persist()
+    got = [(r.state, r.action) for r in rules.apply_rulebook(deep, [("s", "a", "save", "t", None), ("t", "a", "emit", "s", None)], "s").orderBy("pre").collect()]
+    assert got == [("s", "save"), ("t", "emit")] * 50
+
+
 def test_store(spark, tmp_path):
     store = st.Store(spark, f"file://{tmp_path}/s")
     store.create("d", [st.Field("id", "integer", primary=True, auto_increment=True), st.Field("name", "text", default="John")])
