@@ -15,7 +15,7 @@ in blocks of ``BLOCK``, so that no task holds a whole list: first for their best
 main component, then, those that are still outside, for all others.
 
 The thresholds (:func:`least_matches`) leave a link at exactly the wanted similarity 4.7
-standard deviations of margin in the posted coordinates and 3.6 in all, so fewer than 2 in 10,000 such single links (far
+standard deviations of margin in the posted coordinates and 3.6 in all, so about 2.2 in 10,000 such single links (far
 fewer above it) are lost; no cap is set on lists, candidates or rounds.
 
 Defined results: null and empty texts have no shingles and are alone; texts of fewer words
@@ -148,10 +148,10 @@ def _postings(classes: DataFrame, least: int) -> DataFrame:
 
 
 def _with_signatures(postings: DataFrame, classes: DataFrame) -> DataFrame:
-    """(_c, _m0, _m48, _n, _sig): each posted class with a bit mask of its prefix's coordinates."""
+    """(_c, _m0, _m48, _n, _sig, _posts): each posted class with a bit mask of its prefix's coordinates."""
     bit = "if({lo} <= (_token >> 32) and (_token >> 32) < {lo} + 48, 1L << cast((_token >> 32) - {lo} as int), 0L)"
     masks = postings.groupBy("_c").agg(*[F.bit_or(F.expr(bit.format(lo=lo))).alias(f"_m{lo}") for lo in (0, 48)])
-    return masks.join(classes.select("_c", "_n", "_sig"), "_c")
+    return masks.join(classes.select("_c", "_n", "_sig", "_posts"), "_c")
 
 
 def _matches(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ def _cross_pairs(lists: DataFrame, percent: int, least: int, best: bool) -> Data
     """(a, b, m): in each block of a list, what its outsiders (probes) match in other components.
 
     With ``best``, only each outsider's best match in the main component. A pair that shares several lists is compared in the one of the first coordinate that both
-    have in their prefixes.
+    have in their prefixes, by the posted values of 32 bits, as lists are.
     """
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +212,7 @@ def _cross_pairs(lists: DataFrame, percent: int, least: int, best: bool) -> Data
                 continue
             coord = run[0]["_token"] >> 32
             sig = np.frombuffer(b"".join(r["_sig"] for r in members), "<u2").reshape(len(members), -1)
+            posts = np.frombuffer(b"".join(r["_posts"] for r in members), "<u4").reshape(len(members), -1)
             mask = np.concatenate([(np.array([r[k] for r in members])[:, None] >> bits & 1).astype(bool) for k in ("_m0", "_m48")], 1)
             n, comp, own = (np.array([r[k] for r in members]) for k in ("_n", "_comp", "_c"))
             outside = np.array([r["_outside"] for r in members])
@@ -220,11 +221,10 @@ def _cross_pairs(lists: DataFrame, percent: int, least: int, best: bool) -> Data
                 able = np.flatnonzero(others & _sized(p["_n"], n, percent))
                 if not len(able):
                     continue
-                mine = np.frombuffer(p["_sig"], "<u2")
-                same = sig[able] == mine
-                m = same.sum(1)
+                m = _matches(np.frombuffer(p["_sig"], "<u2"), sig[able])
+                same = posts[able] == np.frombuffer(p["_posts"], "<u4")
                 mine_mask = np.concatenate([p[k] >> bits & 1 for k in ("_m0", "_m48")]).astype(bool)
-                first = (same[:, :POSTED] & mask[able] & mine_mask).argmax(1) == coord
+                first = (same & mask[able] & mine_mask).argmax(1) == coord
                 good = np.flatnonzero((m >= least) & first)
                 if best and len(good):
                     good = good[m[good].argmax()][None]
@@ -302,7 +302,7 @@ def _unsettled(postings: DataFrame, comps: DataFrame, signatures: DataFrame, blo
     main = stored(main.select("_token", "_main"), "minhash-main")
     rest = labelled.join(main, "_token").withColumn("_outside", F.col("_comp") != F.col("_main"))
     rest = rest.withColumn("_blocks", F.ceil(F.col("_times") / block)).join(signatures, "_c")
-    columns = ["_token", "_block", "_probe", "_outside", "_c", "_comp", "_n", "_sig", "_m0", "_m48"]
+    columns = ["_token", "_block", "_probe", "_outside", "_c", "_comp", "_n", "_sig", "_posts", "_m0", "_m48"]
     placed = rest.withColumn("_block", F.pmod(F.xxhash64("_c"), F.col("_blocks"))).withColumn("_probe", F.lit(False))
     probes = rest.where("_outside").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).withColumn("_probe", F.lit(True))
     return placed.select(columns).unionByName(probes.select(columns))

@@ -151,6 +151,18 @@ def got_n(got, d):
     return next(n for i, n in got if i == d)
 
 
+def test_lists_are_told_apart_by_all_bits(spark):
+    # Coordinate 2 is in both prefixes and agrees in 16 bits only: the pair has to be found in the list of coordinate 5.
+    a = np.arange(minhash.COORDINATES, dtype=np.uint32)
+    b = a.copy()
+    b[:5] += np.uint32(1 << 16)
+    made = lambda c, x, probe: ((5 << 32) + 5, 0, probe, c == 1, c, c, 10, x.astype("<u2").tobytes(), x[: minhash.POSTED].astype("<u4").tobytes(), (1 << 2) | (1 << 5), 0)
+    schema = "_token long, _block long, _probe boolean, _outside boolean, _c long, _comp long, _n long, _sig binary, _posts binary, _m0 long, _m48 long"
+    lists = spark.createDataFrame([made(1, a, True), made(2, b, False)], schema)
+    for best in (True, False):
+        assert [tuple(r) for r in minhash._cross_pairs(lists, 85, 300, best).collect()] == [(1, 2, minhash.COORDINATES)]
+
+
 # 4 -------------------------------------------------------------------------------------
 
 
