@@ -6,6 +6,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 
 def tables(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -16,7 +17,9 @@ def tables(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def rows(pdf) -> list[tuple]:
-    shown = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
+    """The rows in one order, with numbers to six digits and everything missing as None."""
+    missing = lambda v: pd.api.types.is_scalar(v) and pd.isna(v)
+    shown = lambda v: "None" if missing(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted(tuple(shown(v) for v in row) for row in pdf[sorted(pdf.columns)].itertuples(index=False))
 
 
