@@ -20,28 +20,18 @@ WORD_BPE = "word_bpe_49k.json"
 MAX_TOKENS = 2048
 
 
-def ids_digest(ids: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of what they decode to, of (_id, _ids)."""
-
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = bpe.Codec.of(path, pattern)
-        name = [str(i) for i in range(1 + max(codec.raw))]
-        for batch in batches:
-            n, sums, raws = [], [], []
-            for own in bpe.id_lists(batch.column("_ids")):
-                n.append(len(own))
-                sums.append(hashlib.sha256(" ".join(map(name.__getitem__, own)).encode()).hexdigest())
-                raws.append(hashlib.sha256(codec.decode(own)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(raws, pa.string())], names=names)
-
-    kind = ids.schema["_id"].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    return ids.mapInArrow(digested, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(codec: bpe.Codec, ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """For each text: the number of its ids, and the SHA-256 of the ids in decimal and of what they decode to."""
+    decimal = bpe.joined(pa.array([b"%d " % i for i in range(len(codec.vocab))], pa.binary()).take(pa.array(ids)), ends)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    ids_sha = [sha(memoryview(x.as_buffer())[:-1]) for x in decimal]
+    return [pa.array(np.diff(ends), pa.int64()), pa.array(ids_sha, pa.string()), pa.array([sha(x.as_buffer()) for x in codec.decode(ids, ends)], pa.string())]
 
 
 def bpe_round_trip(docs: DataFrame) -> DataFrame:
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
-    return ids_digest(bpe.whole_ids(docs, path, pattern), path, pattern)
+    found = bpe.encode_to(docs, path, pattern, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return found.withColumnRenamed("_id", "doc_id")
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

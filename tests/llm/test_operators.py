@@ -189,10 +189,44 @@ def test_bpe_query(spark, docs, tik):
         assert got[d].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
-def test_long_pieces_merge_alike():
-    ranks = bpe.load_ranks(P.path(queries.BYTE_BPE))
-    piece = "".join(random.Random(1).choices("the andé", k=99)).encode()
-    assert bpe._merge_long(piece, ranks) == bpe.merge(piece[:99], ranks) or len(piece) > 99
+def by_rank(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        low = min(((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 60, 0))
+        if low[0] == 1 << 60:
+            return [ranks[p] for p in parts]
+        parts[low[1] : low[1] + 2] = [parts[low[1]] + parts[low[1] + 1]]
+
+
+def test_pieces_merge_alike_in_matrices_and_alone():
+    codec, rng = bpe.Codec.of(P.path(queries.BYTE_BPE), P.PATTERN), random.Random(1)
+    pieces = sorted({"".join(rng.choices("the andé日$$", k=rng.randrange(1, 90))) for _ in range(300)})
+    ids, starts, counts = codec.merged(bpe.pa.array(pieces))
+    for p, at, n in zip(pieces, starts, counts):
+        want = [codec.ranks[p.encode()]] if p.encode() in codec.ranks else by_rank(p.encode(), codec.ranks)
+        assert ids[at : at + n].tolist() == want == bpe.merge(p.encode(), codec.ranks), p
+
+
+def test_a_long_run_joins_two_chunks_only(spark, tik):
+    rng, size, overlap = random.Random(2), 1000, 50
+    text = "".join(rng.choices("ab, é\n1", k=900)) + "x" * 300 + "".join(rng.choices("ab, é\n1", k=9000))
+    parts = [text[i : i + size] for i in range(0, len(text), size)]
+    starts = [max(0, i * size - overlap) for i in range(len(parts))]
+    views = [text[at : (i + 1) * size + overlap] for i, at in enumerate(starts)]
+    batch = bpe.pa.RecordBatch.from_pydict({"_key": [0] * len(parts), "_chunk": list(range(len(parts))), "_chunks": [len(parts)] * len(parts), "_start": starts, "_text": views})
+    ends = bpe.pa.Table.from_batches(bpe._boundaries(iter([batch]), P.path(queries.BYTE_BPE), P.PATTERN, size, overlap)).to_pandas()
+    assert list(bpe._stitches(ends, size)["_first"]) == [0, 0, *range(2, len(parts))]
+    df = spark.createDataFrame([(1, text), (2, text[::-1])], "doc_id long, text string")
+    ids = {r._id: list(r._ids) for r in bpe.whole_ids(df, P.path(queries.BYTE_BPE), P.PATTERN, chunk=size, overlap=overlap).collect()}
+    assert ids == {1: tik.encode_ordinary(text), 2: tik.encode_ordinary(text[::-1])}
+
+
+def test_spans_that_never_come_into_step_are_encoded_as_one(spark):
+    # Pairs from an odd start stay out of step with pairs from the text's start: chunks 1, 2, ... agree with each other only.
+    path, pattern, text = P.path(queries.BYTE_BPE), "(?s)aa|.", "a" * 1001
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = bpe.whole_ids(df, path, pattern, chunk=40, overlap=13).first()._ids
+    assert list(got) == bpe.Codec.of(path, pattern).encode([text])[0].tolist()
 
 
 # 5 -------------------------------------------------------------------------------------
