@@ -33,14 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     The files outlive lost executors; they are deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arbor/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

@@ -19,13 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stored, text_of
-
-#: Bits of a filter block: what bitmap_construct_agg() packs into one 4 KiB bitmap.
-BLOCK_BITS = 32768
-#: Filter bits for each row, and cells that a row hits.
-BITS_PER_ROW, CELLS = 16, 3
-#: The filter is broadcast up to this size; beyond it, digests (not texts) meet it by a shuffled join.
-MAX_BROADCAST_BYTES = 64 << 20
+from .filters import blocks_for, cells_hit, probe
 
 
 def normalised(text: Column) -> Column:
@@ -46,32 +40,6 @@ def _digest(docs: DataFrame, id_col: str, text_col: str, row: Column | None = No
     return out.withColumn("_h", F.xxhash64("_sha"))
 
 
-def _cells() -> Column:
-    bits = F.xxhash64(F.col("_h"), F.lit(7))
-    return F.array_distinct(F.array(*[F.shiftrightunsigned(bits, 15 * i).bitwiseAND(BLOCK_BITS - 1) for i in range(CELLS)]))
-
-
-def _block(blocks: int) -> Column:
-    return F.pmod(F.col("_h"), F.lit(blocks))
-
-
-def repeat_filter(digests: DataFrame, blocks: int) -> DataFrame:
-    """(_block, _bits): the cells that at least two rows hit, as bitmaps."""
-    hits = digests.select(_block(blocks).alias("_block"), F.explode(_cells()).alias("_cell"))
-    twice = hits.groupBy("_block", "_cell").agg(F.count(F.lit(1)).alias("_hits")).where("_hits > 1")
-    return twice.groupBy("_block").agg(F.bitmap_construct_agg("_cell").alias("_bits"))
-
-
-def _probe(digests: DataFrame, repeats: DataFrame, blocks: int) -> DataFrame:
-    """Adds _maybe: whether all cells of a row were hit by two rows or more."""
-    if blocks * BLOCK_BITS // 8 <= MAX_BROADCAST_BYTES:
-        repeats = F.broadcast(repeats)
-    bit = "getbit(cast(conv(hex(substring(_bits, cast(c >> 3 as int) + 1, 1)), 16, 10) as bigint), cast(c & 7 as int)) = 1"
-    joined = digests.withColumns({"_block": _block(blocks), "_cells": _cells()}).join(repeats, "_block", "left")
-    maybe = F.col("_bits").isNotNull() & F.expr(f"forall(_cells, c -> {bit})")
-    return joined.withColumn("_maybe", F.coalesce(maybe, F.lit(False))).drop("_block", "_cells", "_bits")
-
-
 def _winners(maybe: DataFrame) -> DataFrame:
     """For each text among possibly repeated rows: its group's size and the row that stays."""
     best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("null"), F.col("_id").alias("id"))).alias("_best")
@@ -95,8 +63,8 @@ def _resolve(digests: DataFrame, probed: DataFrame) -> tuple[DataFrame, DataFram
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
     digests = stored(_digest(docs, id_col, text_col), "exact-digests")
-    blocks = max(1, -(-digests.count() * BITS_PER_ROW // BLOCK_BITS))
-    alone, maybe = _resolve(digests, _probe(digests, repeat_filter(digests, blocks), blocks))
+    blocks = blocks_for(digests.count())
+    alone, maybe = _resolve(digests, probe(digests, cells_hit(digests, blocks, 2), blocks))
     is_best = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_n") == F.col("_keep_n"))
     best = maybe.where(is_best).withColumn("_kept", _first_of_ties(maybe))
     rest = maybe.where(~is_best).withColumn("_kept", F.lit(False))
@@ -112,11 +80,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows that are surely alone aren't shuffled."""
     digests = _digest(docs, id_col, text_col)
-    blocks = max(1, -(-docs.count() * BITS_PER_ROW // BLOCK_BITS))
-    repeats = stored(repeat_filter(digests, blocks), "exact-filter")
-    maybe = _probe(digests, repeats, blocks).where("_maybe")
+    blocks = blocks_for(docs.count())
+    repeats = stored(cells_hit(digests, blocks, 2), "exact-filter")
+    maybe = probe(digests, repeats, blocks).where("_maybe")
     winners = _winners(maybe.select("_id", "_n", "_sha"))
-    rows = _probe(_digest(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), repeats, blocks)
+    rows = probe(_digest(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), repeats, blocks)
     best = (
         rows.where("_maybe").join(winners, "_sha")
         .where(F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_n") == F.col("_keep_n")))

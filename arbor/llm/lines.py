@@ -3,21 +3,24 @@
 A line is the set of its distinct lower-cased words. A line is removed if an earlier one (by
 document id, then line number) has a Jaccard similarity of at least ``PERCENT`` to it.
 
-Equal sets are folded into a class first, with its earliest line. Words are ordered by rarity:
-by how many words of all lines fall into their hash bucket, then by hash, which is one total
-order for all lines. Classes whose similarity reaches the threshold share a word of their
-prefixes in that order, so only those are joined, under four conditions that none of them can
-fail: an order of lines, the length filter, the positional filter (what can still be shared
-after the common word) and a bound from the differing bits of 64-bit sketches. Candidates are
-verified on the full sets.
-
-A class first meets only the earliest class of each of its lists (linear in a list's length);
-most near copies are settled there, and only the other classes are joined to whole lists.
+Texts are split once; the lines' sets are stored. Equal sets are folded into a class, with its
+earliest line. Words are ordered by rarity: by how many lines have a word of their hash bucket,
+then by hash, which is one total order for all lines. Of two similar sets, a prefix of the
+longer one (as long as the threshold allows) and a shorter prefix of the other share a word in
+that order, so classes are posted under their prefixes' words and joined on them, under
+conditions that the pair's first common word always meets: the length filter, the positional
+filter (what can still be shared from that word on) and a bound from the differing bits of
+parity sketches. Candidates are verified on the full sets.
+
+Words of frequent buckets may have long lists. There each class first meets only the earliest
+class of its lists (linear in a list's length), and what is settled by that does not look for
+an earlier line again, so most near copies are never paired with each other.
 
 Defined results: null and empty texts have one line without words; lines without words always
-stay; lines of up to three words only match equal sets; rows that share an id are read as one
-document, of which equal line numbers stay or go together; a null id sorts first; an empty
-table gives an empty result; only the id and text columns are read.
+stay; lines too short for another set to be similar enough (up to three words at 80 %) only
+match equal sets; rows that share an id are read as one document, of which equal line numbers
+stay or go together; a null id sorts first; an empty table gives an empty result; only the id
+and text columns are read. Words are told apart by 56 bits of their hash.
 """
 
 from __future__ import annotations
@@ -27,99 +30,117 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import filters
 from .common import SPACE, stored, text_of
 
 PERCENT = 80
 #: Hash buckets in which words are counted; a byte for each is all that tasks get of the counts.
-BUCKETS = 1 << 17
+BUCKETS, BLOCK = 1 << 18, 1 << 10
+#: Words whose bucket is in so many lines may have long lists.
+FREQUENT = 256
+#: The level of a bucket without words; levels are ASCII characters.
+_LOWEST = 33
 
 
-def _words(line: Column) -> Column:
-    """Hashes of a line's distinct words, sorted."""
-    words = F.filter(F.split(F.lower(line), f"[{SPACE}]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+def _level(lines: int) -> int:
+    """A level that grows with the logarithm of a bucket's number of lines."""
+    return _LOWEST + (1 + int(3 * math.log2(lines)) if lines else 0)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_doc, _line, _set) for each line with words."""
+    """(_doc, _line, _set) for each line with words: hashes of its distinct words."""
     out = docs.select(F.col(id_col).alias("_doc"), F.posexplode(F.split(text_of(text_col), "\n")).alias("_line", "_text"))
-    return out.select("_doc", "_line", _words(F.col("_text")).alias("_set")).where(F.size("_set") > 0)
+    words = F.transform(F.split(F.lower("_text"), f"[{SPACE}]+"), lambda w: F.xxhash64(w))
+    return out.where(F.col("_text").rlike(f"[^{SPACE}]")).select("_doc", "_line", F.array_remove(F.array_distinct(words), F.xxhash64(F.lit(""))).alias("_set"))
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(word, F.lit(BUCKETS)).cast("int")
+    return word.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def rarity(lines: DataFrame) -> bytes:
-    """For each bucket a byte that grows with the logarithm of how many words of all lines are in it.
+    """The level of each bucket: BUCKETS bytes, whatever the input's size."""
+    found = lines.select(F.explode("_set").alias("w")).select(_bucket(F.col("w")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    level = F.when(F.col("n") > 0, F.floor(3 * F.log2("n")).cast("int") + 1).otherwise(0) + _LOWEST
+    every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
+    each = found.unionByName(every).groupBy("b").agg(F.max("n").alias("n")).select("b", level.alias("level"))
+    blocks = each.groupBy(F.floor(F.col("b") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("b", "level"))).alias("x"))
+    rows = blocks.select("block", F.array_join(F.transform("x", lambda x: F.char(x["level"])), "").alias("levels")).collect()
+    return "".join(r.levels for r in sorted(rows, key=lambda r: r.block)).encode()
+
+
+def _classes(lines: DataFrame, levels: bytes, percent: int) -> DataFrame:
+    """(_first, _n, _sketch, _prefix) for each set of words: its earliest line, size, sketch and rarest words.
 
-    BUCKETS counts reach the driver and BUCKETS bytes go back, whatever the input's size.
+    A word is its bucket's level and 56 bits of its hash in one number, so that numbers sort by rarity.
     """
-    found = lines.select(F.explode(F.transform("_set", _bucket)).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    out = bytearray(BUCKETS)
-    for bucket, n in found.collect():
-        out[bucket] = min(255, 1 + int(6 * math.log2(n)))
-    return bytes(out)
-
-
-def _classes(lines: DataFrame, ranks: bytes, percent: int) -> DataFrame:
-    """(_first, _n, _sketch, _prefix) for each set of words: its earliest line, size, sketch and rarest words."""
-    key = F.struct(F.xxhash64("_set").alias("a"), F.xxhash64("_set", F.lit(1)).alias("b"), F.size("_set").alias("n"))
-    first = F.min(F.struct("_doc", "_line")).alias("_first")
-    ranked = F.array_sort(F.transform("_set", lambda w: F.struct(F.substring(F.lit(ranks), _bucket(w) + 1, F.lit(1)).alias("k"), w.alias("w"))))
+    level = lambda w: F.ascii(F.substring(F.lit(levels), _bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
+    ranked = F.transform("_set", lambda w: F.shiftleft(level(w), 56).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1))))
+    rows = lines.select(F.struct("_doc", "_line").alias("_at"), F.sort_array(ranked).alias("_set"))
     size = F.size("_set")
-    kept = F.slice(ranked, 1, size - F.ceil(size * percent / 100).cast("int") + 1)
-    sketch = F.aggregate("_set", F.lit(0).cast("long"), lambda x, w: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(61)).cast("int"))))
-    rows = lines.select("_doc", "_line", key.alias("_key"), sketch.alias("_sketch"), F.transform(kept, lambda x: x["w"]).alias("_prefix"))
-    return rows.groupBy("_key").agg(first, F.first("_sketch").alias("_sketch"), F.first("_prefix").alias("_prefix")).select(
+    key = F.struct(F.xxhash64("_set").alias("a"), F.xxhash64(F.lit(1), "_set").alias("b"), size.alias("n"))
+    parity = F.aggregate("_set", F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(w, 24).bitwiseAND(F.lit(63)).cast("int"))))
+    prefix = F.slice("_set", 1, size - F.ceil(size * percent / 100).cast("int") + 1)
+    rows = rows.select("_at", key.alias("_key"), parity.alias("_sketch"), prefix.alias("_prefix"))
+    return rows.groupBy("_key").agg(F.min("_at").alias("_first"), F.first("_sketch").alias("_sketch"), F.first("_prefix").alias("_prefix")).select(
         "_first", F.col("_key.n").alias("_n"), "_sketch", "_prefix"
     )
 
 
-def _overlap(n: Column, m: Column, percent: int) -> Column:
-    """The least number of shared words of sets of sizes n and m."""
-    return F.ceil((n + m) * percent / (100 + percent))
+def _postings(classes: DataFrame, percent: int, *more: str) -> DataFrame:
+    """Each class under the words of its prefix, but for sets so small that no other set can be similar enough."""
+    able = classes.where(F.col("_n") * 100 >= (F.col("_n") + 1) * percent)
+    return able.select("_first", "_n", "_sketch", *more, F.posexplode("_prefix").alias("_pos", "_word"))
 
 
 def _able(a: str, b: str, percent: int) -> Column:
-    """What holds for every pair of posted classes that reach the threshold, of which b is the earlier one."""
+    """What holds for two sets that reach the threshold at the first word that they share."""
     an, bn, ap, bp = F.col(f"{a}._n"), F.col(f"{b}._n"), F.col(f"{a}._pos"), F.col(f"{b}._pos")
-    need = _overlap(an, bn, percent)
+    need = F.ceil((an + bn) * percent / (100 + percent))
     differing = F.bit_count(F.col(f"{a}._sketch").bitwiseXOR(F.col(f"{b}._sketch")))
-    return (
-        (F.col(f"{b}._first") < F.col(f"{a}._first"))
-        & (F.least(an, bn) * 100 >= F.greatest(an, bn) * percent)
-        & (F.least(an - ap, bn - bp) + F.least(ap, bp) >= need)
-        & (an + bn - differing >= 2 * need)
-    )
+    return (F.least(an, bn) * 100 >= F.greatest(an, bn) * percent) & (F.least(an - ap, bn - bp) >= need) & (an + bn - differing >= 2 * need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a) of the pairs (a, b) of first lines whose full sets are similar enough."""
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(a) of the pairs (a, b) of lines whose full sets are similar enough."""
     pairs = stored(pairs.select("a", "b").distinct(), "lines-pairs")
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct(), "lines-ends").select("e._doc", "e._line")
-    found = stored(sets.join(ends, ["_doc", "_line"], "left_semi").select(F.struct("_doc", "_line").alias("e"), "_set"), "lines-sets")
-    side = lambda end, name: found.select(F.col("e").alias(end), F.col("_set").alias(name))
+    blocks = filters.blocks_for(2 * pairs.count())
+    sets = lines.select(F.struct("_doc", "_line").alias("_at"), "_set", F.xxhash64("_doc", "_line").alias("_h"))
+    if filters.broadcastable(blocks):  # else all sets meet the pairs
+        ends = pairs.select(F.xxhash64("a._doc", "a._line").alias("_h")).union(pairs.select(F.xxhash64("b._doc", "b._line")))
+        sets = filters.probe(sets, stored(filters.cells_hit(ends, blocks), "lines-ends"), blocks).where("_maybe")
+    side = lambda end, name: sets.select(F.col("_at").alias(end), F.col("_set").alias(name))
     both = F.size(F.array_intersect("x", "y"))
     joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     return joined.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a").distinct()
 
 
+def _settled(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(a): classes similar to the earliest one of one of their lists, by frequent words."""
+    posted = _postings(classes, percent).where(F.shiftrightunsigned("_word", 56) >= _level(FREQUENT))
+    hubs = posted.groupBy("_word").agg(F.min(F.struct("_first", "_n", "_sketch", "_pos")).alias("h")).select("_word", "h.*")
+    near = posted.alias("a").join(hubs.alias("b"), (F.col("a._word") == F.col("b._word")) & (F.col("b._first") < F.col("a._first")) & _able("a", "b", percent))
+    distance = F.bit_count(F.col("a._sketch").bitwiseXOR(F.col("b._sketch")))
+    closest = near.groupBy(F.col("a._first").alias("a")).agg(F.min(F.struct(distance.alias("d"), F.col("b._first").alias("b"))).alias("x"))
+    return _verified(closest.select("a", F.col("x.b").alias("b")), lines, percent)
+
+
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(_doc, _line): the lines with words that stay."""
-    lines = lines_of(docs, id_col, text_col)
+    lines = stored(lines_of(docs, id_col, text_col), "lines-sets", **{"parquet.dictionary.page.size": 8 << 20})
     classes = stored(_classes(lines, rarity(lines), percent), "lines-classes")
-    posted = classes.where("_n > 3").select("_first", "_n", "_sketch", F.posexplode("_prefix").alias("_pos", "_word"))
-    hubs = posted.groupBy("_word").agg(F.min(F.struct("_first", "_n", "_sketch", "_pos")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    hubs = stored(hubs.select("_word", "h.*"), "lines-hubs")
-    near = posted.alias("a").join(hubs.alias("b"), (F.col("a._word") == F.col("b._word")) & _able("a", "b", percent))
-    closest = near.groupBy(F.col("a._first").alias("a")).agg(F.min(F.struct(F.bit_count(F.col("a._sketch").bitwiseXOR(F.col("b._sketch"))).alias("d"), F.col("b._first").alias("b"))).alias("x"))
-    settled = stored(_verified(closest.select("a", F.col("x.b").alias("b")), lines, percent), "lines-settled")
-    shared = posted.join(hubs.select("_word"), "_word", "left_semi")
-    open_ = shared.join(settled, F.col("_first") == F.col("a"), "left_anti")
-    rest = open_.alias("a").join(shared.alias("b"), (F.col("a._word") == F.col("b._word")) & _able("a", "b", percent))
-    later = _verified(rest.select(F.col("a._first").alias("a"), F.col("b._first").alias("b")), lines, percent)
-    gone = stored(settled.unionByName(later), "lines-gone")
+    settled = stored(_settled(classes, lines, percent), "lines-settled")
+    marked = classes.join(settled, F.col("_first") == F.col("a"), "left").withColumn("_open", F.col("a").isNull())
+    posted = _postings(marked, percent, "_open")
+    # Both sides have the same columns, so the postings are shuffled once: a is the shorter set.
+    first, second = F.col("a._first"), F.col("b._first")
+    a_later = first > second
+    shorter = (F.col("a._n") < F.col("b._n")) | ((F.col("a._n") == F.col("b._n")) & (first < second))
+    indexed = F.col("a._pos") <= F.col("a._n") - F.ceil(F.col("a._n") * 2 * percent / (100 + percent))
+    is_open = F.when(a_later, F.col("a._open")).otherwise(F.col("b._open"))
+    pairs = posted.alias("a").join(posted.alias("b"), (F.col("a._word") == F.col("b._word")) & shorter & indexed & (first != second) & is_open & _able("a", "b", percent))
+    pairs = pairs.select(F.when(a_later, first).otherwise(second).alias("a"), F.when(a_later, second).otherwise(first).alias("b"))
+    gone = settled.unionByName(stored(_verified(pairs, lines, percent), "lines-gone"))
     return classes.select("_first").join(gone, F.col("_first") == F.col("a"), "left_anti").select("_first._doc", "_first._line")
 
 
@@ -135,11 +156,12 @@ def line_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with the removed lines gone from the text."""
-    kept = kept_lines(docs, id_col, text_col, percent).groupBy(F.col("_doc").alias("_arbor_doc")).agg(F.collect_set("_line").alias("_arbor_kept"))
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_arbor_doc"]), "left")
+    kept = kept_lines(docs, id_col, text_col, percent).groupBy("_doc").agg(F.collect_set("_line").alias("_kept"))
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    joined = rows.join(kept, F.col("_id").eqNullSafe(F.col("_doc")), "left")
     stays = F.filter(
-        F.transform(F.split(text_of(text_col), "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda x: ~x["x"].rlike(f"[^{SPACE}]") | F.array_contains(F.coalesce("_arbor_kept", F.array().cast("array<int>")), x["i"]),
+        F.transform(F.split("_text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+        lambda x: ~x["x"].rlike(f"[^{SPACE}]") | F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), x["i"]),
     )
-    text = F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(stays, lambda x: x["x"]), "\n"))
-    return joined.withColumn(text_col, text).select(*[f"`{c}`" for c in docs.columns])
+    text = F.when(F.col("_row")[text_col].isNotNull(), F.array_join(F.transform(stays, lambda x: x["x"]), "\n"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])

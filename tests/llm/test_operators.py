@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from arbor.llm import bpe, counts, exact, flac, lbl, lines, minhash, mixing, pii, quality, queries
+from arbor.llm import bpe, counts, exact, filters, flac, lbl, lines, minhash, mixing, pii, quality, queries
 
 from ..oracle import check
 
@@ -232,10 +232,12 @@ def test_spans_that_never_come_into_step_are_encoded_as_one(spark):
 # 5 -------------------------------------------------------------------------------------
 
 
-def test_lines_by_force(spark, odd, none):
+@pytest.mark.parametrize("percent, frequent", [(80, 256), (80, 1), (60, 4), (70, 256), (90, 8)])
+def test_lines_by_force(spark, monkeypatch, percent, frequent):
+    monkeypatch.setattr(lines, "FREQUENT", frequent)
     rng = random.Random(4)
     base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(2, 30))] for _ in range(12)]
-    made = []
+    made = [(50, "a b c d\na b c\na b\na\nA  b"), (51, "b c d e a\n\nz a b c d"), (52, "a\nb")]
     for d in range(40):
         part = []
         for _ in range(4):
@@ -244,13 +246,25 @@ def test_lines_by_force(spark, odd, none):
                 w[rng.randrange(len(w))] = f"w{rng.randrange(90)}"
             part.append(" ".join(w))
         made.append((d, "\n".join([*part, ""])))
-    df = spark.createDataFrame(made, "doc_id long, text string")
-    every = [((d, i), frozenset(x.split())) for d, t in made for i, x in enumerate(t.split("\n")) if x.split()]
+    made.sort()
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    every = [((d, i), frozenset(x.lower().split())) for d, t in made for i, x in enumerate(t.split("\n")) if x.split()]
     want = {d: [] for d, _ in made}
     for n, (at, s) in enumerate(every):
-        if not any(100 * len(s & o) >= 80 * len(s | o) for _, o in every[:n]):
+        if not any(100 * len(s & o) >= percent * len(s | o) for _, o in every[:n]):
             want[at[0]].append(at[1])
-    assert {r.doc_id: list(r.kept_lines) for r in lines.line_summary(df).collect()} == want
+    assert {r.doc_id: list(r.kept_lines) for r in lines.line_summary(df, percent=percent).collect()} == want
+
+
+def test_lines_of_odd_rows(spark, odd, none):
+    found = {}
+    for r in lines.line_summary(odd).collect():
+        found.setdefault(r.doc_id, []).append((r.n_lines, r.n_blank, list(r.kept_lines)))
+    assert found[None] == [(1, 0, [0])] and found[1] == [(1, 1, [])] and found[3] == [(2, 2, [])] and found[12] == [(1, 0, [0])] * 2
+    assert found[6][0][2] == [0, 1, 2] and found[7][0][2] == [] and found[4][0][2] == [0] and found[5][0][2] == [] and found[9][0][2] == []
+    # Null ids come first and are one document; rows with an id and a line number in common stay or go together.
+    few = spark.createDataFrame([(None, "p q r s t"), (1, "p q r s t"), (1, "one two three four five"), (2, "one two three four five six")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), list(r.kept_lines)) for r in lines.line_summary(few).collect()) == [("1", [0]), ("1", [0]), ("2", []), ("None", [0])]
     cleaned = lines.dedup_lines(odd)
     assert cleaned.columns == odd.columns and cleaned.count() == odd.count() and cleaned.where("doc_id = 1").first().text is None
     assert lines.line_summary(none).count() == 0 and lines.dedup_lines(none).count() == 0
@@ -437,5 +451,5 @@ def test_exact_by_force(odd, none):
 
 def test_exact_beyond_the_broadcast(odd, monkeypatch):
     want = sorted((str(r.doc_id), r.group_size) for r in exact.exact_groups(odd).collect())
-    monkeypatch.setattr(exact, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(filters, "MAX_BROADCAST_BYTES", 0)
     assert sorted((str(r.doc_id), r.group_size) for r in exact.exact_groups(odd).collect()) == want
