@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.core import total
-from ..llm.common import stored
+from ..shared import stored
 
 
 def first_of_group(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:

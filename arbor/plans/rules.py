@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..llm.common import stored
+from ..shared import stored
 
 #: Levels of a rulebook between stored tables.
 STORE_EVERY = 8
