@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, stored
+
+__all__ = ["SPACE", "load", "shared_dir", "slabs", "stored", "text_of", "unused", "words"]
+
 #: ASCII white space as a regular-expression class body; words are runs of anything else.
 SPACE = r"\x20\x09-\x0D"
 
@@ -19,32 +21,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the session names none (tests, a laptop) is a temporary folder taken.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_arbor_shared_dir", None)
-    if not found:
-        found = spark._arbor_shared_dir = "file://" + tempfile.mkdtemp(prefix="arbor-")
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there.
-
-    The files outlive lost executors; they are deleted when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arbor/{name}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **options).parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or with as many underscores before it as no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
 
 
 def text_of(text_col: str) -> Column:

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import stored, text_of
 from .filters import blocks_for, cells_hit, probe
@@ -40,38 +39,23 @@ def _digest(docs: DataFrame, id_col: str, text_col: str, row: Column | None = No
     return out.withColumn("_h", F.xxhash64("_sha"))
 
 
-def _winners(maybe: DataFrame) -> DataFrame:
+def _winners(maybe: DataFrame, *tie: str) -> DataFrame:
     """For each text among possibly repeated rows: its group's size and the row that stays."""
-    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("null"), F.col("_id").alias("id"))).alias("_best")
+    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), *tie)).alias("_best")
     groups = maybe.groupBy("_sha").agg(F.count(F.lit(1)).alias("_size"), best)
     # Written, so that the join below deals both sides anew and a hot text's rows can be split.
-    return stored(groups.select("_sha", "_size", F.col("_best.id").alias("_keep"), (-F.col("_best.n")).alias("_keep_n")), "exact-winners")
-
-
-def _first_of_ties(df: DataFrame) -> Column:
-    return F.row_number().over(Window.partitionBy("_sha").orderBy("_id")) == 1
-
-
-def _resolve(digests: DataFrame, probed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that pass straight through, and possibly repeated rows with their winners."""
-    alone = probed.where(~F.col("_maybe"))
-    maybe = probed.where("_maybe")
-    winners = _winners(maybe.select("_id", "_n", "_sha"))
-    return alone, maybe.join(winners, "_sha")
+    return stored(groups.select("_sha", "_size", F.col("_best.id").alias("_keep"), (-F.col("_best.n")).alias("_keep_n"), *[F.col(f"_best.{c}").alias(f"_keep{c}") for c in tie]), "exact-winners")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
-    digests = stored(_digest(docs, id_col, text_col), "exact-digests")
+    digests = stored(_digest(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "exact-digests")
     blocks = blocks_for(digests.count())
-    alone, maybe = _resolve(digests, probe(digests, cells_hit(digests, blocks, 2), blocks))
-    is_best = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_n") == F.col("_keep_n"))
-    best = maybe.where(is_best).withColumn("_kept", _first_of_ties(maybe))
-    rest = maybe.where(~is_best).withColumn("_kept", F.lit(False))
-    out = alone.select("_id", "_sha", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"), F.lit(True).alias("_kept"))
-    for part in (best, rest):
-        out = out.unionByName(part.select("_id", "_sha", "_keep", "_size", "_kept"))
-    return out.select(
+    probed = probe(digests, cells_hit(digests, blocks, 2), blocks)
+    alone = probed.where(~F.col("_maybe")).select("_sha", "_id", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"), F.lit(True).alias("_kept"))
+    maybe = probed.where("_maybe")
+    found = maybe.join(_winners(maybe, "_row"), "_sha").select("_sha", "_id", "_keep", "_size", (F.col("_row") == F.col("_keep_row")).alias("_kept"))
+    return alone.unionByName(found).select(
         F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
         F.col("_kept").alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"),
     )
@@ -82,12 +66,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digests = _digest(docs, id_col, text_col)
     blocks = blocks_for(docs.count())
     repeats = stored(cells_hit(digests, blocks, 2), "exact-filter")
-    maybe = probe(digests, repeats, blocks).where("_maybe")
-    winners = _winners(maybe.select("_id", "_n", "_sha"))
+    winners = _winners(probe(digests, repeats, blocks).where("_maybe"))
     rows = probe(_digest(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), repeats, blocks)
-    best = (
-        rows.where("_maybe").join(winners, "_sha")
-        .where(F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_n") == F.col("_keep_n")))
-        .withColumn("_first", _first_of_ties(rows)).where("_first")
-    )
-    return rows.where(~F.col("_maybe")).select("_row").unionByName(best.select("_row")).select("_row.*")
+    best = rows.where("_maybe").join(winners, "_sha").where(F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_n") == F.col("_keep_n")))
+    # Rows of equal text, length and id are left: one of each stays, picked in each task before they are shuffled.
+    return rows.where(~F.col("_maybe")).select("_row").unionByName(best.dropDuplicates(["_sha"]).select("_row")).select("_row.*")

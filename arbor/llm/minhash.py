@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slabs, stored, text_of, words
+from .common import slabs, stored, text_of, unused, words
 from .components import components
 
 COORDINATES, POSTED = 384, 96
@@ -319,5 +319,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    gone = near_groups(docs, id_col, text_col, **how).where("not kept").select(F.col(id_col).alias("_arbor_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_arbor_gone"], "left_anti")
+    name = unused("gone", docs.columns)
+    gone = near_groups(docs, id_col, text_col, **how).where("not kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")

@@ -33,9 +33,9 @@ SHARE, CAP = 1.5, 2.0
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(_id, _source, _size): the words of each text."""
+    """(_id, _source, _size, _hash): the words of each text, and its hash, which tells rows with equal ids apart."""
     n = F.regexp_count(text_of(text_col), F.lit(f"[^{SPACE}]+")).cast("long")
-    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n.alias("_size"))
+    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n.alias("_size"), F.xxhash64(text_of(text_col)).alias("_hash"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -123,7 +123,7 @@ def land(p: np.ndarray, words: np.ndarray, draws: np.ndarray) -> np.ndarray:
 def _flown(seed: int, level: int):
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.array([xxhash.xxh64_intdigest(str(i), seed) for i in pdf["_id"]], np.uint64)
-        pdf = pdf.iloc[np.lexsort((pdf["_size"].to_numpy(), order))]
+        pdf = pdf.iloc[np.lexsort((pdf["_hash"].to_numpy(), order))]
         draws, words = _draws(pdf["_id"].tolist(), seed + 1, level), pdf["_size"].to_numpy()
         p = flight(pdf["_p"].to_numpy(), words, draws)
         if pdf["_blocks"].iloc[0] == 1:
@@ -143,14 +143,14 @@ def cube_sample(sized: DataFrame, goals: DataFrame, block: int = BLOCK, seed: in
     rows = sized.alias("s").join(goals.alias("g"), F.col("s._source").eqNullSafe(F.col("g._source")))
     rows = rows.withColumn("_whole", F.floor(rate + 1e-12)).withColumn("_p", F.greatest(F.lit(0.0), rate - F.col("_whole")))
     rows = rows.select(
-        "_id", F.col("s._source").alias("_source"), "_size", "_source_size", "_target", "_whole", "_p",
+        "_id", "_hash", F.col("s._source").alias("_source"), "_size", "_source_size", "_target", "_whole", "_p",
         (F.col("_p") > 0).alias("_open"), F.ceil(F.col("_docs") / block).alias("_blocks"),
     )
     # Each block leaves two documents open at most, so the sizes of all levels follow from the first.
     blocks = -(-(goals.agg(F.max("_docs")).first()[0] or 0) // block) or 1
     done, level = [], 0
     while True:
-        place = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(seed + level)), F.col("_blocks")).alias("_block")
+        place = F.pmod(F.xxhash64(F.col("_id").cast("string"), "_hash", F.lit(seed + level)), F.col("_blocks")).alias("_block")
         flew = stored(rows.groupBy("_source", place).applyInPandas(_flown(seed, level), rows.schema), "mix-flight")
         done.append(flew.where(~F.col("_open")))
         if blocks == 1:
@@ -168,12 +168,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return cube_sample(sized, stored(targets(sized, weights, share, cap), "mix-goals"), block, seed)
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of ``docs``, with all their columns, as many times as the mix takes each."""
-    copies = mix(docs, id_col, **how).select("_id", "_copies")
-    nth = lambda key, by: F.row_number().over(Window.partitionBy(key).orderBy(by))  # noqa: E731  rows that share an id are told apart
-    left = copies.withColumn("_nth", nth("_id", F.desc("_copies"))).where("_copies > 0")
-    right = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_own"))
-    right = right.withColumn("_nth2", nth("_own", F.col("_own")))
-    taken = right.join(left, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_nth2") == F.col("_nth")))
+    same = ["_id", "_source", "_hash"]  # rows equal in these are interchangeable, and are counted through
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("_hash")).alias("_nth")
+    copies = mix(docs, id_col, text_col, source_col, **how).select(*same, "_copies", nth).where("_copies > 0")
+    own = docs.select(
+        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.xxhash64(text_of(text_col)).alias("_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    ).select("*", nth)
+    on = F.lit(True)
+    for c in (*same, "_nth"):
+        on = on & F.col(f"o.{c}").eqNullSafe(F.col(f"c.{c}"))
+    taken = own.alias("o").join(copies.alias("c"), on)
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_time")).select("_row.*")

@@ -4,8 +4,8 @@ A text's features are its single words and adjacent pairs, twice: as the words t
 (A-Z lowered) and as their shapes (runs of capitals, small letters, digits and each sign;
 a word equal to the one before has a shape of its own). Each is hashed into ``2**BITS``
 buckets; a bucket's value is its share of the text's n-grams times ``SCALE``. One task learns
-from a bounded sample of labelled rows (``SAMPLE``: the labelled ids of smallest hash), one
-row after another; scores are sparse dot products, a whole batch of texts at a time.
+from a bounded sample of labelled rows (``SAMPLE``: the labelled ids of smallest hash, as far
+as they have at most ``MOST`` n-grams), one row after another; scores are sparse dot products, a whole batch of texts at a time.
 
 Defined results: null and empty texts have no n-grams and get the bias's score; a document
 without text can still be labelled; a label counts once for each id, the smallest one if they
@@ -15,6 +15,7 @@ with the same id are scored one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -24,19 +25,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import slabs, text_of
+from .common import slabs, text_of, unused
 
 BITS = 18
 SCALE = 16.0
 #: Labelled rows to learn from, at most, and passes over them.
 SAMPLE, EPOCHS = 16384, 3
+#: Their n-grams, at most: four bytes each in the one task that learns.
+MOST = 100_000_000
 #: FTRL-proximal: step size, its offset, and the weights of the absolute and squared penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: A text is predicted good at this score.
 THRESHOLD = 0.3
-#: Distinct words whose hashes a worker remembers; then it forgets them all.
-REMEMBERED = 400_000
+#: Distinct words whose hashes a task remembers; then it forgets them all.
+REMEMBERED = 150_000
 _SHAPES = bytes.maketrans(bytes(range(256)), bytes(
     0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256)
 ))
@@ -144,54 +148,66 @@ class Ftrl:
 
 
 def fold(id_col: str, folds: int) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+    """The fold of a document by its id; -1 for a null id, which so is in none of them."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(-1).cast("long"))
 
 
-def _learned(batches: Iterator[pa.RecordBatch], bits: int, epochs: int) -> Iterator[pa.RecordBatch]:
-    features, rows = Features(bits), []
+def _learned(batches: Iterator[pa.RecordBatch], bits: int, epochs: int, most: int) -> Iterator[pa.RecordBatch]:
+    features, rows, total = Features(bits), [], 0
     for batch in slabs(batches, "_text"):
         buckets, sizes = features.batch(batch.column("_text").to_pylist())
         keys = zip(batch.column("_order").to_pylist(), batch.column("_id").to_pylist(), batch.column("_label").to_pylist())
-        rows += [(k, b) for k, b in zip(keys, np.split(buckets.astype(np.int32), np.cumsum(sizes)[:-1]))]
-    rows.sort(key=lambda r: (r[0], len(r[1])))
+        for (order, doc, label), own in zip(keys, np.split(buckets.astype(np.int32), np.cumsum(sizes)[:-1])):
+            # The largest order is on top, to go when there is too much.
+            heapq.heappush(rows, (-order, len(own), str(doc), label, own.tobytes()))
+            total += len(own)
+            while total > most and len(rows) > 1:
+                total -= heapq.heappop(rows)[1]
+    rows.sort(key=lambda r: (-r[0], r[2], r[1]))
     model = Ftrl(bits)
     for _ in range(epochs if rows else 0):
-        for (_, _, label), buckets in rows:
-            model.update(buckets, label)
+        for _, _, _, label, own in rows:
+            model.update(np.frombuffer(own, np.int32), label)
     yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()])], names=["weights"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights from at most ``sample`` of the ``labels`` (which the caller has restricted to those to learn from)."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most: int = MOST, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights from at most ``sample`` of the ``labels`` (which the caller has restricted to those to learn from).
+
+    Of these, as many in order of hash as together have at most ``most`` n-grams are learned from.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("_label"))
     taken = known.withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(sample)
     # At most ``sample`` rows of three numbers: small enough to broadcast at any input size.
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(taken), "_id")
     one = texts.groupBy("_id").agg(F.min(F.struct("_order", "_label", "_text")).alias("_x")).select("_id", "_x.*")
-    learned = one.coalesce(1).mapInArrow(lambda b: _learned(b, bits, epochs), "weights binary")
+    learned = one.coalesce(1).mapInArrow(lambda b: _learned(b, bits, epochs, most), "weights binary")
     found = learned.collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros(2**bits + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (the id if None) and _arbor_score, 0 to 1, for each row."""
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """The columns ``keep`` (the id if None) and ``score_col``, 0 to 1, for each row. A text that is kept too is sent once."""
     held = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MB at 18 bits
     names = [id_col] if keep is None else keep
-    schema = docs.select([f"`{c}`" for c in names]).schema.add("_arbor_score", "double")
+    schema = docs.select([f"`{c}`" for c in names]).schema.add(score_col, "double")
     bits = int(math.log2(len(weights) - 1))
+    own = names.index(text_col) if text_col in names and isinstance(docs.schema[text_col].dataType, StringType) else len(names)
+    sent = [F.col(f"`{c}`") for c in names] + ([] if own < len(names) else [text_of(text_col).alias(unused("text", names))])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(bits), held.value.astype(np.float64)
-        for batch in slabs(batches, "_arbor_text"):
-            x = dots(w, *features.batch(batch.column("_arbor_text").to_pylist())) + w[-1]
+        for batch in slabs(batches, own):
+            x = dots(w, *features.batch(batch.column(own).to_pylist())) + w[-1]
             columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sigmoid(x))], names=[*names, "_arbor_score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sigmoid(x))], names=[*names, score_col])
 
-    return docs.select(*[f"`{c}`" for c in names], text_of(text_col).alias("_arbor_text")).mapInArrow(scored, schema)
+    return docs.select(*sent).mapInArrow(scored, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **how) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
     weights = learn(docs, labels, id_col, text_col, **how)
-    out = score(docs, weights, id_col, text_col, keep=docs.columns)
-    return out.where(F.col("_arbor_score") >= threshold).drop("_arbor_score")
+    name = unused("score", docs.columns)
+    out = score(docs, weights, id_col, text_col, keep=docs.columns, score_col=name)
+    return out.where(F.col(name) >= threshold).drop(name)

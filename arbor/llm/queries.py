@@ -90,8 +90,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "labels").where(quality.fold("doc_id", 5) != 0)
     scored = quality.score(docs, quality.learn(docs, labels))
     return scored.select(
-        "doc_id", (quality.fold("doc_id", 5) == 0).alias("held_out"), F.col("_arbor_score").alias("score"),
-        (F.col("_arbor_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+        "doc_id", (quality.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
 
 

@@ -324,7 +324,7 @@ def test_quality_held_out_accuracy(spark):
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (8, 0), (8, 1), (1, None), (None, 1), (6, 1)], "doc_id long, quality int")
     w = quality.learn(odd, labels, sample=3)
-    assert quality.score(odd, w).where("_arbor_score between 0 and 1").count() == odd.count()
+    assert quality.score(odd, w).where("score between 0 and 1").count() == odd.count()
     assert quality.keep_good(odd, labels).columns == odd.columns
     assert set(r[1] for r in quality.score(odd, quality.learn(odd, labels.limit(0))).collect()) == {0.5}
     assert quality.keep_good(none, labels).count() == 0
