@@ -139,7 +139,8 @@ def encode_uri(x: Column | str) -> Column:
 
 
 def decode_uri(x: Column | str) -> Column:
-    return F.url_decode(F.replace(text(x), F.lit("+"), F.lit("%2B")))
+    """Without percent-encoding; a text with escapes that are none stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(text(x), F.lit("+"), F.lit("%2B"))), text(x))
 
 
 def base64_encode(x: Column | str) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.core import col, text
+
 
 def _by(parent: list[str], order: list[Column | str]):
     return Window.partitionBy(*parent).orderBy(*order)
@@ -39,10 +41,10 @@ def nearest_before(value: Column, parent: list[str], order: list[Column | str])
     return F.last(value, ignorenulls=True).over(_by(parent, order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def once(value: str, parent: list[str], order: list[Column | str]) -> Column:
+def once(value: str | Column, parent: list[str], order: list[Column | str]) -> Column:
     """The value, or nothing where the sibling before has the same."""
-    same = F.lag(value).over(_by(parent, order)).eqNullSafe(F.col(value))
-    return F.when(same & (F.row_number().over(_by(parent, order)) > 1), "").otherwise(F.col(value).cast("string"))
+    same = F.lag(value).over(_by(parent, order)).eqNullSafe(col(value))
+    return F.when(same & (F.row_number().over(_by(parent, order)) > 1), "").otherwise(text(value))
 
 
 def numbered(*levels: tuple[list[str], list[Column | str]]) -> Column:

@@ -175,10 +175,27 @@ def from_levels(levels: list[tuple[DataFrame, str]], doc: str, keys: list[str])
     return out.select("doc_id", F.col("pre").cast("long").alias("pre"), "size", "level", F.col("parent").cast("long").alias("parent"), F.row_number().over(siblings).alias("ord"), F.lit("elem").alias("kind"), "name", *keys)
 
 
+#: Places of a bucket in which containing and contained nodes meet.
+BUCKET = 64
+
+
 def _pair(context: DataFrame, nodes: DataFrame, on) -> DataFrame:
     return context.alias("c").join(nodes.alias("n"), (F.col("c.doc_id") == F.col("n.doc_id")) & on(F.col))
 
 
+def _contained(outer: DataFrame, inner: DataFrame, o: str, i: str) -> DataFrame:
+    """Pairs of nodes where ``outer``'s span of places holds ``inner``'s place; aliases o and i.
+
+    A span is posted in each bucket of places that it touches, so that an inner node meets
+    those around it only, and one large document is as many keys as it has buckets.
+    """
+    last = F.floor((F.col("pre") + F.col("size")) / BUCKET)
+    posted = outer.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("pre") / BUCKET), last)))
+    placed = inner.withColumn("_bucket", F.floor(F.col("pre") / BUCKET))
+    holds = (F.col(f"{o}.pre") <= F.col(f"{i}.pre")) & (F.col(f"{i}.pre") <= F.col(f"{o}.pre") + F.col(f"{o}.size"))
+    return posted.alias(o).join(placed.alias(i), (F.col(f"{o}.doc_id") == F.col(f"{i}.doc_id")) & (F.col(f"{o}._bucket") == F.col(f"{i}._bucket")) & holds)
+
+
 def _no_attribute(c) -> Column:
     return c("n.kind") != "attr"
 
@@ -201,20 +218,63 @@ AXES = {
 REVERSE = {"parent", "ancestor", "ancestor-or-self", "preceding", "preceding-sibling"}
 
 
-def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None = None) -> DataFrame:
-    """(doc_id, context, pre, position...) of the nodes on an axis, with their place, which reverse axes count backwards."""
-    found = _pair(context, nodes, AXES[axis])
+def _found(context: DataFrame, nodes: DataFrame, axis: str) -> DataFrame:
+    """All pairs (c, n) of an axis: as many rows as the axis has nodes."""
+    if axis.startswith("descendant"):
+        return _contained(context, nodes, "c", "n").where(AXES[axis](F.col))
+    if axis.startswith("ancestor"):
+        return _contained(nodes, context, "n", "c").where(AXES[axis](F.col))
+    return _pair(context, nodes, AXES[axis])
+
+
+def _nearest(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None, upto: int) -> DataFrame:
+    """The pairs of an axis that can have a place of at most ``upto``, without making the others.
+
+    Nodes that count are numbered in a document's order. Those wanted have the next numbers
+    after the context (or its end), or the last ones before it, among which there are at most
+    as many ancestors as the context is deep: an equi-join on numbers.
+    """
+    counts = _no_attribute(F.col) if test is None else _no_attribute(F.col) & F.coalesce(test, F.lit(False))
+    in_order = Window.partitionBy("n.doc_id").orderBy("n.pre").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = nodes.alias("n").select("n.*", counts.alias("_counts"), F.sum(counts.cast("long")).over(in_order).alias("_number"))
+    at = F.col("c.pre") + F.col("c.size") if axis == "following" else F.col("c.pre")
+    placed = context.alias("c").join(numbered.alias("m"), (F.col("c.doc_id") == F.col("m.doc_id")) & (at == F.col("m.pre")))
+    number = F.col("m._number")
+    if axis == "preceding":
+        before = number - F.col("m._counts").cast("long")
+        wanted = F.sequence(F.greatest(before - F.lit(upto) - F.col("c.level") + 1, F.lit(1).cast("long")), before)
+        wanted = F.when(before > 0, wanted).otherwise(F.array().cast("array<bigint>"))
+    else:
+        wanted = F.sequence(number + 1, number + upto)
+    placed = placed.select("c.*", F.explode(wanted).alias("_wanted"))
+    on = (F.col("c.doc_id") == F.col("n.doc_id")) & (F.col("c._wanted") == F.col("n._number"))
+    return placed.alias("c").join(numbered.where("_counts").alias("n"), on).where(AXES[axis](F.col))
+
+
+def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None = None, upto: int | None = None) -> DataFrame:
+    """(doc_id, context, pre, position...) of the nodes on an axis, with their place, which reverse axes count backwards.
+
+    With ``upto`` only the first so many for each context, which take no more work than there are.
+    """
+    if upto is not None and axis in ("descendant", "following", "preceding"):
+        found = _nearest(context, nodes, axis, test, upto)
+    elif upto is not None and axis.endswith("-sibling") and test is None:
+        sign = 1 if axis == "following-sibling" else -1
+        moved = context.withColumn("_wanted", F.explode(F.array(*[F.col("ord") + sign * k for k in range(1, upto + 1)])))
+        found = _pair(moved, nodes, lambda c: AXES[axis](c) & (c("c._wanted") == c("n.ord")))
+    else:
+        found = _found(context, nodes, axis)
     if test is not None:
         found = found.where(test)
     order = F.desc("n.pre") if axis in REVERSE else F.asc("n.pre")
     place = F.row_number().over(Window.partitionBy("c.doc_id", "c.pre").orderBy(order))
-    return found.select(F.col("c.doc_id").alias("doc_id"), F.col("c.pre").alias("context"), F.col("n.pre").alias("pre"), F.col("n.name").alias("name"), place.alias("position"))
+    out = found.select(F.col("c.doc_id").alias("doc_id"), F.col("c.pre").alias("context"), F.col("n.pre").alias("pre"), F.col("n.name").alias("name"), place.alias("position"))
+    return out if upto is None else out.where(F.col("position") <= upto)
 
 
 def string_values(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     """(doc_id, pre, text): each element's descendant text in document order."""
-    texts = nodes.where("kind = 'text'")
-    found = _pair(elements, texts, AXES["descendant"])
+    found = _contained(elements, nodes.where("kind = 'text'"), "c", "n")
     parts = F.array_sort(F.collect_list(F.struct(F.col("n.pre").alias("p"), F.col("n.value").alias("v"))))
     joined = found.groupBy(F.col("c.doc_id").alias("doc_id"), F.col("c.pre").alias("pre")).agg(F.array_join(F.transform(parts, lambda x: x["v"]), "").alias("text"))
     return elements.select("doc_id", "pre").join(joined, ["doc_id", "pre"], "left").select("doc_id", "pre", F.coalesce("text", F.lit("")).alias("text"))

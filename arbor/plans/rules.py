@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from ..shared import stored
 
-#: Levels of a rulebook between stored tables.
-STORE_EVERY = 8
-
-
 @dataclass(frozen=True)
 class Template:
     """A pattern and what it makes; of several that match, the higher precedence, then priority, then the later wins."""
@@ -45,28 +41,24 @@ def rule_table(spark, rules: list[tuple[str, str, str, str | None, str | None]])
 def apply_rulebook(nodes: DataFrame, rules: list[tuple[str, str, str, str | None, str | None]], start: str, default: str = "discard") -> DataFrame:
     """Adds to each element its state, action and tag; ``nodes`` has doc_id, pre, parent, level, name.
 
-    The state of an element's children is its rule's new state, or its own; so states are
-    found from the top down, a level of all documents at a time: as many joins as documents
-    are deep. Rules are a few rows, which Spark broadcasts. Every few levels lineage ends in a
-    stored table, so that plans don't grow with the depth.
+    Of rules with the same state and tag the first holds. The state of an element's children is
+    its rule's new state, or its own; so states are found from the top down, a level of all
+    documents at a time. The elements are stored by level and each level's states are stored,
+    so that the work is linear: every element is read once, and joined to its parent's level.
+    Rules are a few rows, which Spark broadcasts.
     """
-    book = rule_table(nodes.sparkSession, rules)
-    first = book.dropDuplicates(["state", "tag"]) if len({r[:2] for r in rules}) < len(rules) else book
+    first = rule_table(nodes.sparkSession, list({r[:2]: r for r in reversed(rules)}.values()))
 
     def ruled(df: DataFrame) -> DataFrame:
         hit = df.join(first.withColumnRenamed("tag", "name"), ["state", "name"], "left")
         return hit.select("doc_id", "pre", "level", "name", "state", F.coalesce("action", F.lit(default)).alias("action"), F.coalesce("use_tag", "name").alias("use_tag"), F.coalesce("new_state", "state").alias("below"))
 
-    elements = nodes.where("kind = 'elem'").select("doc_id", "pre", "parent", "level", "name")
-    top = elements.agg(F.min("level"), F.max("level")).first()
-    if top[0] is None:
-        return ruled(elements.withColumn("state", F.lit(start))).drop("below")
-    level = ruled(elements.where(F.col("level") == top[0]).withColumn("state", F.lit(start)))
-    out = level
-    for d in range(top[0] + 1, top[1] + 1):
+    elements = stored(nodes.where("kind = 'elem'").select("doc_id", "pre", "parent", "level", "name"), "rulebook-nodes", by=["level"])
+    levels = sorted(r[0] for r in elements.select("level").distinct().collect())
+    level = ruled(elements.where(F.col("level") == (levels[0] if levels else 0)).withColumn("state", F.lit(start)))
+    out = level = stored(level, "rulebook")
+    for d in levels[1:]:
         above = level.select("doc_id", F.col("pre").alias("parent"), F.col("below").alias("state"))
-        level = ruled(elements.where(F.col("level") == d).join(above, ["doc_id", "parent"]))
-        if (d - top[0]) % STORE_EVERY == 0:
-            level = stored(level, "rulebook")
+        level = stored(ruled(elements.where(F.col("level") == d).join(above, ["doc_id", "parent"])), "rulebook")
         out = out.unionByName(level)
     return out.drop("below")

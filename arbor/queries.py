@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store as st
-from .functions import bits, core, dates, strings
+from .functions import bits, core, dates, formats, strings
 from .operators import groups, joins, paths, windows
-from .plans import nodes, rules
+from .plans import nodes, rules, trees
+from .shared import delete_at_exit, shared_dir, stored
 from .sources import readers
 from .streaming import dampen as rate
 
@@ -217,11 +219,14 @@ def lowest_of_group(t):
     return groups.extremes(t.customer, ["c_nationkey"], "c_acctbal", largest=False).select("c_nationkey", "c_custkey")
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT o_custkey % 97 AS a, o_orderkey % 97 AS b FROM orders WHERE o_orderkey % 97 > o_custkey % 97 AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'),
+@query("""WITH RECURSIVE l AS (SELECT a, b FROM (SELECT c_custkey AS a, lead(c_custkey) OVER w AS b, lead(c_acctbal) OVER w - c_acctbal AS gap
+FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey)) WHERE gap <= 200),
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, b FROM r""")
 def closure(t):
-    links = t.orders.where("o_orderkey % 97 > o_custkey % 97 and o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").selectExpr("o_custkey % 97 as a", "o_orderkey % 97 as b")
-    return groups.reachable(links, "a", "b")
+    """Each customer with all that follow without a gap of over 200 between balances, in its nation and segment."""
+    by = (["c_nationkey", "c_mktsegment"], ["c_acctbal", "c_custkey"])
+    links = t.customer.select(F.col("c_custkey").alias("a"), windows.sibling("c_custkey", 1, *by).alias("b"), (windows.sibling("c_acctbal", 1, *by) - F.col("c_acctbal")).alias("gap"))
+    return groups.reachable(links.where("gap <= 200"), "a", "b")
 
 
 @query("""WITH RECURSIVE l AS (SELECT a, b FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, epoch_us(lead(o_orderdate) OVER w) - epoch_us(o_orderdate) AS gap
@@ -321,11 +326,9 @@ CUSTOMER_FIELDS = [st.Field("c_custkey", "integer", primary=True), st.Field("c_n
 
 
 def _customers(t) -> st.Store:
-    import tempfile
-    import uuid
-
-    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    made = st.Store(t.spark, f"{root}/arbor-store-{uuid.uuid4().hex}")
+    root = f"{shared_dir(t.spark)}/arbor-store-{uuid.uuid4().hex}"
+    delete_at_exit(t.spark, root)
+    made = st.Store(t.spark, root)
     made.load("customer", t.customer, CUSTOMER_FIELDS)
     return made
 
@@ -451,11 +454,11 @@ def fn_bits(t):
     )
 
 
-@query("""SELECT o_orderkey, translate(b, '01', '10') AS n, b[3:] || '00' AS l, lpad(b[:-4], 16, '0') AS r, lpad(b[:-4], 16, b[1]) AS ar
-FROM (SELECT o_orderkey, lpad(bin(o_orderkey), 16, '0') AS b FROM orders WHERE o_orderkey < 65536)""")
+@query("""SELECT o_orderkey, b[2:] || '0' AS l, lpad(b[:-6], 40, '0') AS r, lpad(b[:-6], 40, b[1]) AS ar
+FROM (SELECT o_orderkey, lpad(bin(o_orderkey), 40, '0') AS b FROM orders)""")
 def fn_bit_shifts(t):
-    b = bits.from_int("o_orderkey", 16)
-    return t.orders.where("o_orderkey < 65536").select("o_orderkey", bits.not_(b).alias("n"), bits.shift_left(b, 2).alias("l"), bits.shift_right(b, 3).alias("r"), bits.arithmetic_shift_right(b, 3).alias("ar"))
+    b = bits.from_int("o_orderkey", 40)
+    return t.orders.select("o_orderkey", bits.shift_left(b, 1).alias("l"), bits.shift_right(b, 5).alias("r"), bits.arithmetic_shift_right(b, 5).alias("ar"))
 
 
 @query("""SELECT o_orderkey, translate(b, '01', '10') AS n, b[3:] || '00' AS l, lpad(b[:-4], 64, '0') AS r, lpad(b[:-4], 64, b[1]) AS ar
@@ -524,7 +527,7 @@ def markup_escapes(t):
 
 @query("SELECT page_id, replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&') AS title FROM pages")
 def html_titles(t):
-    table = nodes.encode(t.pages, "page_id", "html")
+    table = stored(nodes.encode(t.pages, "page_id", "html"), "pages")  # parsed once
     titles = table.where("kind = 'elem' and name = 'title'")
     found = nodes.string_values(table, titles)
     return t.pages.select("page_id").join(found.withColumnRenamed("doc_id", "page_id"), "page_id", "left").select("page_id", F.coalesce("text", F.lit("")).alias("title"))
@@ -532,7 +535,7 @@ def html_titles(t):
 
 @query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1")
 def html_links(t):
-    table = nodes.encode(t.pages, "page_id", "html")
+    table = stored(nodes.encode(t.pages, "page_id", "html"), "pages")
     links = nodes.step(table.where("kind = 'elem' and name = 'a'"), table, "attribute", F.col("n.name") == "href")
     return links.groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -565,9 +568,9 @@ _AXIS_SQL = {
 
 def _axis_query(axis: str, predicate: str) -> None:
     def run(t):
-        tree = _tree(t)
-        found = nodes.step(tree.where("name <> 'customer'" if axis != "child" else "name <> 'item'"), tree, axis)
-        return found.where("position <= 2").groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("pre").alias("places"))
+        tree = stored(_tree(t), "tree")  # its windows run once
+        found = nodes.step(tree.where("name <> 'customer'" if axis != "child" else "name <> 'item'"), tree, axis, upto=2)
+        return found.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("pre").alias("places"))
 
     # The name of the context and of the nodes that a position keeps are those of the inner query.
     order = "DESC" if axis in nodes.REVERSE else "ASC"
@@ -599,6 +602,116 @@ def rulebook_filter(t):
     return rules.apply_rulebook(_tree(t), book, "top").select("doc_id", "pre", "state", "action", "use_tag")
 
 
+# -- trees that are made and written ----------------------------------------------------------
+
+
+def _named_tree(t) -> DataFrame:
+    return stored(_tree(t).withColumn("value", F.lit(None).cast("string")), "tree")
+
+
+_ORDERS_SQL = "o AS (SELECT o_custkey AS doc_id, o_orderkey AS k, count(DISTINCT l_linenumber) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_ORDERS_SQL} SELECT c_custkey AS doc_id, CASE WHEN count(k) = 0 THEN '<customer/>' ELSE '<customer>' ||
+string_agg(CASE WHEN n = 0 THEN '<order/>' ELSE '<order>' || repeat('<item/>', n) || '</order>' END, '' ORDER BY k) || '</customer>' END AS text FROM customer LEFT JOIN o ON doc_id = c_custkey GROUP BY 1""")
+def tree_to_xml(t):
+    return trees.markup(_named_tree(t))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS links, len(regexp_extract_all(html, '<p[> ]')) AS paragraphs, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages")
+def tree_to_html(t):
+    made = trees.markup(stored(nodes.encode(t.pages, "page_id", "html"), "pages"), "html")
+    found = [F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(n) for p, n in (("<a href=", "links"), ("<p[> ]", "paragraphs"))]
+    return made.select(F.col("doc_id").alias("page_id"), *found, F.regexp_extract("text", "<title>(.*?)</title>", 1).alias("title"))
+
+
+@query("SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value, 'number' AS type FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_to_tree(t):
+    table = stored(nodes.encode(t.events, "event_id", "props", trees.json_parser()), "json")
+    of = lambda kind: table.where(F.col("kind") == kind).select("doc_id", F.col("parent").alias("pre"), "value")
+    members = table.where("kind = 'elem' and level = 2").select("doc_id", "pre", "name")
+    found = members.join(of("text"), ["doc_id", "pre"]).join(of("attr").withColumnRenamed("value", "type"), ["doc_id", "pre"])
+    return found.select(F.col("doc_id").alias("event_id"), "name", "value", "type")
+
+
+@query("SELECT event_id, CAST(json(props) AS VARCHAR) AS text FROM events WHERE props IS NOT NULL")
+def tree_to_json(t):
+    table = stored(nodes.encode(t.events.where("props is not null"), "event_id", "props", trees.json_parser()), "json")
+    return trees.json_text(table).withColumnRenamed("doc_id", "event_id")
+
+
+@query(f"""WITH {_ORDERS_SQL}, s AS (SELECT doc_id, count(*) AS orders, CAST(sum(n) AS BIGINT) AS items FROM o GROUP BY 1)
+SELECT doc_id, orders + items + 1 AS nodes, ((orders + items) * (orders + items + 1)) // 2 AS places, orders + 2 * items AS levels, orders + items + items AS sizes FROM s""")
+def copy_of(t):
+    tree = _named_tree(t)
+    made = trees.copied(tree, tree.where("name = 'order'"))
+    return made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum("pre").alias("places"), F.sum("level").alias("levels"), F.sum("size").alias("sizes"))
+
+
+@query(f"""WITH {_ORDERS_SQL} SELECT c_custkey AS doc_id, '[' || coalesce(string_agg('(' || k || repeat(CASE WHEN k % 2 = 0 THEN '.' ELSE ',' END, n) || ')', '' ORDER BY k), '') || ']' AS text
+FROM customer LEFT JOIN o ON doc_id = c_custkey GROUP BY 1""")
+def apply_templates(t):
+    name, key = F.col("name"), F.col("k1")
+    order = name == "order"
+    made = [
+        trees.Rule(name == "customer", F.lit("["), F.lit("]")), trees.Rule(order, F.concat(F.lit("("), key), F.lit(")"), below="odd"),
+        trees.Rule(order & (key % 2 == 0), F.concat(F.lit("("), key), F.lit(")"), priority=0.5), trees.Rule(name == "item", F.lit(".")), trees.Rule(name == "item", F.lit(","), mode="odd"),
+    ]
+    return trees.apply_templates(_named_tree(t), made)
+
+
+@query(f"""WITH {_ORDERS_SQL} SELECT c_custkey AS doc_id, coalesce(string_agg('<' || k || '>', '' ORDER BY k), '') AS text FROM customer LEFT JOIN o ON doc_id = c_custkey GROUP BY 1""")
+def apply_imports(t):
+    order = F.col("name") == "order"
+    made = [trees.Rule(order, F.col("k1"), below=None), trees.Rule(order, F.lit("<"), F.lit(">"), precedence=1, imports=True)]
+    return trees.apply_templates(_named_tree(t), made)
+
+
+@query("""WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
+SELECT doc_id, k, l_linenumber AS line, '1.' || i || '.' || row_number() OVER (PARTITION BY k ORDER BY l_linenumber) AS label FROM o JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = k""")
+def number_multiple(t):
+    tree = _named_tree(t)
+    found = trees.numbered(tree, F.lit(True), "multiple").select("doc_id", "pre", formats.numbers_as("numbers", "1.1").alias("label"))
+    return tree.where("name = 'item'").join(found, ["doc_id", "pre"]).select("doc_id", F.col("k1").alias("k"), F.col("k2").alias("line"), "label")
+
+
+@query("""SELECT o_custkey AS doc_id, l_orderkey AS k, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS of_order, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber) AS of_all
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN orders ON o_orderkey = l_orderkey""")
+def number_any(t):
+    tree, item = _named_tree(t), F.col("name") == "item"
+    own = trees.numbered(tree, item, "any", F.col("name") == "order").select("doc_id", "pre", F.get("numbers", 0).alias("of_order"))
+    every = trees.numbered(tree, item, "any").select("doc_id", "pre", F.get("numbers", 0).alias("of_all"))
+    return tree.where(item).join(own, ["doc_id", "pre"]).join(every, ["doc_id", "pre"]).select("doc_id", F.col("k1").alias("k"), F.col("k2").alias("line"), "of_order", "of_all")
+
+
+@query("""SELECT c_custkey, chr(CAST(97 + c_nationkey AS INTEGER)) AS small, CASE WHEN c_custkey BETWEEN 1 AND 26 THEN chr(CAST(64 + c_custkey AS INTEGER)) ELSE 'many' END AS large,
+['i','ii','iii','iv','v','vi','vii','viii','ix','x','xi','xii','xiii','xiv','xv','xvi','xvii','xviii','xix','xx','xxi','xxii','xxiii','xxiv','xxv'][c_nationkey + 1] AS roman, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS padded FROM customer""")
+def fn_number_forms(t):
+    nation = F.col("c_nationkey")
+    return t.customer.select(
+        "c_custkey", formats.number_as(nation + 1, "a").alias("small"), F.when(F.col("c_custkey").between(1, 26), formats.number_as("c_custkey", "A")).otherwise("many").alias("large"),
+        formats.number_as(nation + 1, "i").alias("roman"), formats.number_as(nation, "001").alias("padded"),
+    )
+
+
+@query("""SELECT c_custkey, CASE WHEN a < 0 THEN '(' || format('{:,.2f}', -a) || ')' ELSE format('{:,.2f}', a) END AS money, CASE WHEN a < 0 THEN '-' ELSE '' END || printf('%.1f', abs(a) * 100) || '%' AS share,
+'<' || CASE WHEN a < 0 THEN '_' ELSE '' END || replace(replace(replace(format('{:,.2f}', abs(a)), ',', ' '), '.', ','), ' ', '.') || '>' AS other FROM (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(18, 2)) AS a FROM customer)""")
+def fn_format_patterns(t):
+    a = F.col("c_acctbal").cast("decimal(18,2)")
+    own = formats.DecimalFormat(point=",", grouping=".", minus="_")
+    return t.customer.select(
+        "c_custkey", formats.format_number(a, "#,##0.00;(#)").alias("money"), formats.format_number(a, "0.0%").alias("share"),
+        F.concat(F.lit("<"), formats.format_number(a, "#.##0,00", own), F.lit(">")).alias("other"),
+    )
+
+
+@query("""SELECT event_id, printf('%8s|', CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN '' ELSE event_type END) || upper(event_type[1]) || event_type[2:] || '|#' || printf('%-10s', event_type[:3]) || '%' AS p
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def fn_printf_more(t):
+    e = "event_type"
+    return t.events.select("event_id", formats.printed("%8j1s|%jcs|%jt{#}s%%", e, e, F.rpad(F.substring(e, 1, 3), 10, " "), within=(["user_id"], ["ts", "event_id"])).alias("p"))
+
+
 # -- streams --------------------------------------------------------------------------------
 
 

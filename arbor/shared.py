@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether shuffle files are deleted at the end of the query that wrote them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
@@ -31,13 +34,19 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
-def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there.
+def stored(df: DataFrame, name: str, by: list[str] | None = None, **options: object) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders for the columns ``by``, and read it back: lineage ends there.
 
-    The files outlive lost executors; they are deleted when the driver's JVM ends.
+    The files outlive lost executors; they are deleted when the driver's JVM ends. The shuffle
+    files of the plan that made them are deleted as soon as they are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arbor/{name}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **options).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(compression="zstd", **options).parquet(path, partitionBy=by)
+    finally:
+        spark.conf.set(CLEANUP, before)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,20 +42,25 @@ def json_field(value: Column | str, *path: str) -> Column:
 
 def json_members(df: DataFrame, column: str) -> DataFrame:
     """Each row once for each member of a JSON object: adds name, type and value."""
-    out = df.withColumn("_v", F.try_parse_json(F.col(column)))
-    out.createOrReplaceTempView("_arbor_json_members")
-    return df.sparkSession.sql(
-        "SELECT t.*, m.key AS name, lower(regexp_replace(schema_of_variant(m.value), '<.*', '')) AS type, to_json(m.value) AS value FROM _arbor_json_members t, LATERAL variant_explode(t._v) m"
-    ).drop("_v")
+    kind = F.lower(F.regexp_replace(F.schema_of_variant(F.col("_m.value")), "<.*", ""))
+    # The rows' own view, so that queries that run beside each other don't take each other's.
+    view = f"_arbor_members_{uuid.uuid4().hex}"
+    df.withColumn("_v", F.try_parse_json(F.col(column))).createOrReplaceTempView(view)
+    found = df.sparkSession.sql(f"SELECT t.*, struct(m.key, m.value) AS _m FROM {view} t, LATERAL variant_explode(t._v) m")
+    df.sparkSession.catalog.dropTempView(view)
+    return found.withColumns({"name": F.col("_m.key"), "type": kind, "value": F.to_json(F.col("_m.value"))}).drop("_v", "_m")
 
 
 def form_fields(value: Column | str) -> Column:
-    """A url-encoded form or query string as a map."""
+    """A url-encoded form or query string as a map; of a name that comes again, the last value."""
     c = text(value)
     pairs = F.filter(F.split(c, "&"), lambda p: p != "")
     decode = lambda x: F.try_url_decode(F.coalesce(x, F.lit("")))
-    entries = F.transform(pairs, lambda p: F.struct(decode(F.substring_index(p, "=", 1)), decode(F.when(F.contains(p, F.lit("=")), F.substring(p, F.instr(p, "=") + 1, F.char_length(p))))))
-    return F.map_from_entries(F.array_distinct(entries))
+    value_of = lambda p: decode(F.when(F.contains(p, F.lit("=")), F.substring(p, F.instr(p, "=") + 1, F.char_length(p))))
+    entries = F.transform(pairs, lambda p: F.struct(F.coalesce(decode(F.substring_index(p, "=", 1)), F.substring_index(p, "=", 1)).alias("k"), value_of(p).alias("v")))
+    names = F.transform(entries, lambda e: e["k"])
+    last = lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["k"])
+    return F.map_from_entries(F.filter(entries, last))
 
 
 def query_of(url: Column | str) -> Column:

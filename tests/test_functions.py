@@ -78,3 +78,12 @@ def test_dates(value):
     assert value(dates.duration_seconds(F.lit("-PT1M"))) == -60 and value(dates.duration_seconds(F.lit("P1Y"))) is None
     assert value(dates.day_in_week(F.lit("2024-03-03"))) == 1 and value(dates.week_in_month(F.lit("2024-03-03"))) == 2
     assert value(dates.year(F.lit("no date"))) is None
+
+
+def test_bad_escapes_and_repeated_names(spark):
+    from arbor.sources import readers
+
+    df = spark.createDataFrame([("a=1&a=2&b=%zz&c&=x",), (None,)], "q string")
+    found = df.select(readers.form_fields("q").alias("f")).collect()
+    assert found[0].f == {"a": "2", "b": None, "c": "", "": "x"} and found[1].f == {}
+    assert [r[0] for r in spark.createDataFrame([("%zz",), ("a%20b+",)], "q string").select(strings.decode_uri("q")).collect()] == ["%zz", "a b+"]

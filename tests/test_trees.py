@@ -38,6 +38,18 @@ def test_reverse_axes_count_backwards(table):
     assert nodes.step(table.where("name = 'a'"), table, "attribute").count() == 1
 
 
+@pytest.mark.parametrize("axis", [*nodes.AXES])
+def test_first_places_are_those_of_the_whole_axis(spark, axis):
+    texts = [(1, XML), (2, "<r>" + "<a k='1'><b/>x<c><d/></c><!--n--></a>" * 40 + "</r>"), (3, None)]
+    table = nodes.encode(spark.createDataFrame(texts, "id long, text string"), "id", "text", nodes.parse_xml).persist()
+    for test in (None, F.col("n.kind") == "elem"):
+        shown = lambda df: sorted((r.doc_id, r.context, r.pre, r.position) for r in df.collect())
+        whole = nodes._pair(table, table, nodes.AXES[axis])
+        found = shown(nodes.step(table, table, axis, test))
+        assert len(found) == (whole if test is None else whole.where(test)).count()
+        assert shown(nodes.step(table, table, axis, test, upto=2)) == [x for x in found if x[3] <= 2]
+
+
 def test_string_value(table):
     found = nodes.string_values(table, table.where("name = 'a'"))
     assert {(r.doc_id, r.text) for r in found.collect()} == {(1, "xyz"), (2, "")}
