@@ -715,7 +715,13 @@ def fn_printf_more(t):
 # -- streams --------------------------------------------------------------------------------
 
 
-@query()
+_RECENT = "list_filter(s.recent, lambda x: e.t - x < 86400000000)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+s AS (SELECT event_id, event_type, r, [t] AS recent, true AS accepted FROM e WHERE r = 1
+  UNION ALL SELECT e.event_id, e.event_type, e.r, CASE WHEN len({_RECENT}) < 3 THEN list_append({_RECENT}, e.t) ELSE {_RECENT} END, len({_RECENT}) < 3 FROM s JOIN e ON e.event_type = s.event_type AND e.r = s.r + 1)
+SELECT event_id, accepted FROM s""")
 def dampen_events(t):
     return rate.dampen(t.events, "event_type", "ts", 3, 86400.0, ["event_id"]).select("event_id", "accepted")
 

@@ -6,45 +6,68 @@ each name: the times of the last accepted events, at most the limit.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 
-def accept(times: list[float], most: int, period: float, recent: list[float]) -> tuple[list[bool], list[float]]:
+def accept(times, most: int, period: float, recent) -> tuple[list[bool], deque]:
     """Which of the times, in order, are accepted after the ``recent`` ones, and the new recent ones."""
-    out = []
+    out, recent = [], deque(recent)
     for t in times:
-        recent = [r for r in recent if t - r < period]
+        while recent and t - recent[0] >= period:
+            recent.popleft()
         out.append(len(recent) < most)
         if out[-1]:
             recent.append(t)
     return out, recent
 
 
+def _stretches(events: DataFrame, key: str, period: int) -> DataFrame:
+    """``events`` with _stretch: between two of them nothing happens for a whole period, so no state is carried on.
+
+    A stretch ends where a period-long slot of time has no event: found by counts of slots, not by a pass over a name's events.
+    """
+    placed = events.withColumn("_slot", F.floor(F.col("_micros") / period))
+    slots = placed.groupBy(F.col(key).alias("_key"), F.col("_slot").alias("_at")).agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("_key").orderBy("_at")
+    slots = slots.withColumn("_new", F.coalesce((F.col("_at") - F.lag("_at").over(by) > 1).cast("int"), F.lit(1)))
+    slots = slots.select("_key", "_at", F.sum("_new").over(by).alias("_stretch"))
+    return placed.join(slots, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_at"))).drop("_slot", "_key", "_at")
+
+
 def dampen(events: DataFrame, key: str, time: str, most: int, period: float, order: list[str] | None = None) -> DataFrame:
-    """``events`` with ``accepted``. Events of a name are sorted by Spark and pass through in batches; only the state is held."""
-    order = order or []
-    dealt = events.withColumn("_secs", F.expr(f"unix_micros(cast({time} as timestamp)) / 1e6"))
-    dealt = dealt.repartition(key).sortWithinPartitions(key, "_secs", *order)
+    """``events`` with ``accepted``.
+
+    Each stretch of a name's events, between silences of a period, is a key of its own. Spark
+    sorts its events, which pass through in batches; only the times of the last accepted ones are held.
+    """
+    order, micros = order or [], round(period * 1e6)
+    dealt = _stretches(events.withColumn("_micros", F.expr(f"unix_micros(cast({time} as timestamp))")), key, micros)
+    dealt = dealt.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", "_micros", *order)
     schema = T.StructType([*events.schema.fields, T.StructField("accepted", T.BooleanType())])
 
     def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, recent = object(), []
+        last, recent = None, deque()
         for pdf in batches:
             accepted = []
-            for k, t in zip(pdf[key], pdf["_secs"]):
-                if k != name:
-                    name, recent = k, []
-                ok, recent = accept([t], most, period, recent)
-                accepted += ok
-            yield pdf.drop(columns="_secs").assign(accepted=accepted)
+            names = list(zip(pdf[key].astype(object).where(pdf[key].notna(), None), pdf["_stretch"]))
+            for name, run in groupby(zip(names, pdf["_micros"].tolist()), key=itemgetter(0)):
+                if name != last:
+                    last, recent = name, deque()
+                some, recent = accept((t for _, t in run), most, micros, recent)
+                accepted += some
+            yield pdf.drop(columns=["_micros", "_stretch"]).assign(accepted=accepted)
 
-    return dealt.mapInPandas(passed, schema)
+    return dealt.select(*events.columns, "_micros", "_stretch").mapInPandas(passed, schema)
 
 
 def dampen_stream(events: DataFrame, key: str, time: str, most: int, period: float) -> DataFrame:
@@ -55,7 +78,7 @@ def dampen_stream(events: DataFrame, key: str, time: str, most: int, period: flo
         recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(time)
         accepted, recent = accept([t.timestamp() for t in rows[time]], most, period, recent)
-        state.update((recent,))
+        state.update((list(recent),))
         yield pd.DataFrame({key: rows[key], time: rows[time], "accepted": accepted})
 
     schema = f"`{key}` {kind}, `{time}` timestamp, accepted boolean"

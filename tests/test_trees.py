@@ -94,7 +94,7 @@ def test_store(spark, tmp_path):
 
 def test_dampen():
     ok, recent = dampen.accept([0, 1, 2, 3, 10, 11], 2, 5, [])
-    assert ok == [True, True, False, False, True, True] and recent == [10, 11]
+    assert list(ok) == [True, True, False, False, True, True] and recent == [10, 11]
 
 
 def test_dampen_stream_as_batch(spark, tmp_path):
