@@ -38,7 +38,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def slabs(batches: Iterable[pa.RecordBatch], text_col: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slabs(batches: Iterable[pa.RecordBatch], text_col: str | int, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches where their texts pass ``max_bytes``, so that a batch of long texts stays small."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
@@ -50,3 +50,4 @@ def slabs(batches: Iterable[pa.RecordBatch], text_col: str, max_bytes: int = 8 <
             total += n
         if start < len(sizes):
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # a reused worker waits without what this task needed

@@ -5,7 +5,7 @@ A text's features are its single words and adjacent pairs, twice: as the words t
 a word equal to the one before has a shape of its own). Each is hashed into ``2**BITS``
 buckets; a bucket's value is its share of the text's n-grams times ``SCALE``. One task learns
 from a bounded sample of labelled rows (``SAMPLE``: the labelled ids of smallest hash, as far
-as they have at most ``MOST`` n-grams), one row after another; scores are sparse dot products, a whole batch of texts at a time.
+as they have at most ``MOST`` distinct n-grams), one row after another; scores are sparse dot products, a whole batch of texts at a time.
 
 Defined results: null and empty texts have no n-grams and get the bias's score; a document
 without text can still be labelled; a label counts once for each id, the smallest one if they
@@ -33,8 +33,10 @@ BITS = 18
 SCALE = 16.0
 #: Labelled rows to learn from, at most, and passes over them.
 SAMPLE, EPOCHS = 16384, 3
-#: Their n-grams, at most: four bytes each in the one task that learns.
-MOST = 100_000_000
+#: Their texts' distinct n-grams, at most: eight bytes each in the one task that learns.
+MOST = 50_000_000
+#: Bytes of text whose n-grams are made together.
+SLAB = 2 << 20
 #: FTRL-proximal: step size, its offset, and the weights of the absolute and squared penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: A text is predicted good at this score.
@@ -136,10 +138,10 @@ class Ftrl:
         z, n = self.z[at], self.n[at]
         return -np.sign(z) * np.maximum(np.abs(z) - L1, 0) / ((BETA + np.sqrt(n)) / ALPHA + L2)
 
-    def update(self, buckets: np.ndarray, label: int) -> None:
-        at, times = np.unique(buckets, return_counts=True)
-        at = np.append(at, len(self.z) - 1)
-        x = np.append(SCALE * times / max(1, len(buckets)), 1.0)
+    def update(self, buckets: np.ndarray, times: np.ndarray, label: int) -> None:
+        """Learn from a text's distinct buckets, with how often it has each."""
+        at = np.append(buckets, len(self.z) - 1)
+        x = np.append(SCALE * times / max(1, times.sum()), 1.0)
         w = self.weights(at)
         g = (1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ x))))) - label) * x
         n = self.n[at]
@@ -154,27 +156,28 @@ def fold(id_col: str, folds: int) -> Column:
 
 def _learned(batches: Iterator[pa.RecordBatch], bits: int, epochs: int, most: int) -> Iterator[pa.RecordBatch]:
     features, rows, total = Features(bits), [], 0
-    for batch in slabs(batches, "_text"):
+    for batch in slabs(batches, "_text", SLAB):
         buckets, sizes = features.batch(batch.column("_text").to_pylist())
         keys = zip(batch.column("_order").to_pylist(), batch.column("_id").to_pylist(), batch.column("_label").to_pylist())
-        for (order, doc, label), own in zip(keys, np.split(buckets.astype(np.int32), np.cumsum(sizes)[:-1])):
+        for (order, doc, label), own in zip(keys, np.split(buckets, np.cumsum(sizes)[:-1])):
+            at, times = np.unique(own, return_counts=True)
             # The largest order is on top, to go when there is too much.
-            heapq.heappush(rows, (-order, len(own), str(doc), label, own.tobytes()))
-            total += len(own)
+            heapq.heappush(rows, (-order, len(own), str(doc), label, at.astype(np.int32).tobytes(), times.astype(np.int32).tobytes()))
+            total += len(at)
             while total > most and len(rows) > 1:
-                total -= heapq.heappop(rows)[1]
+                total -= len(heapq.heappop(rows)[4]) // 4
     rows.sort(key=lambda r: (-r[0], r[2], r[1]))
     model = Ftrl(bits)
     for _ in range(epochs if rows else 0):
-        for _, _, _, label, own in rows:
-            model.update(np.frombuffer(own, np.int32), label)
+        for *_, label, at, times in rows:
+            model.update(np.frombuffer(at, np.int32), np.frombuffer(times, np.int32), label)
     yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()])], names=["weights"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most: int = MOST, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights from at most ``sample`` of the ``labels`` (which the caller has restricted to those to learn from).
 
-    Of these, as many in order of hash as together have at most ``most`` n-grams are learned from.
+    Of these, as many in order of hash as together have at most ``most`` distinct n-grams are learned from.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("_label"))
     taken = known.withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(sample)
@@ -197,7 +200,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(bits), held.value.astype(np.float64)
-        for batch in slabs(batches, own):
+        for batch in slabs(batches, own, SLAB):
             x = dots(w, *features.batch(batch.column(own).to_pylist())) + w[-1]
             columns = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sigmoid(x))], names=[*names, score_col])
