@@ -41,7 +41,7 @@ CHUNK, OVERLAP = 32768, 512
 #: Code points past a piece that the pattern may look at, at most.
 MARGIN = 8
 #: Bytes of text that are encoded together; pieces merged in one matrix, and bytes of a piece in one.
-SLAB, ROWS, WIDTH = 8 << 20, 4096, 64
+SLAB, ROWS, WIDTH = 4 << 20, 4096, 64
 _NONE = np.iinfo(np.int32).max
 
 
