@@ -12,8 +12,8 @@ to START from every state, so what lies between white space is a path from START
 paths that were taken before are kept as single transitions with their emitted counts.
 
 A chunk's state map, from any state at its start to (tokens, state at its end), is held as
-(head, count, tail): the text up to the first white space, which depends on the state before;
-the tokens from there on, which don't; and the text since the last white space. ``compose``
+(head, count, tail): the text up to the first white space or digit, which depends on the state
+before; the tokens from there on, which don't; and the text since the last one. ``compose``
 joins two maps and is associative, so the maps of a long text's chunks are composed by a
 prefix scan in parallel: neighbours first, then neighbours of those.
 
@@ -49,11 +49,14 @@ MAX_RUN, PIECE = 64, 4096
 #: Characters of a run after which no contraction is open any more.
 _SETTLED = 8
 _LONG = regex.compile(r"\p{L}{%d,}+|[^\s\p{L}\p{N}]{%d,}+" % (MAX_RUN + 1, MAX_RUN + 1))
-#: White space at which a chunk's head and tail are cut off: no normalisation reaches across it.
-_CUT = re.compile(r"[ \t\n]")
+#: Where a chunk's head and tail are cut off: white space, and digits, which are tokens by themselves. No normalisation or special string reaches across them.
+_CUT = re.compile(r"[ \t\n0-9]")
 # Fixed values of the pre-tokenizer: what an apostrophe at a token's start takes along.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
+# Letters whose small forms the tokenizer's library takes otherwise than str.lower(), or which that doesn't know yet.
+LOWER = {0x03A3: "\u03c3", 0xA7CB: "\u0264", 0xA7DC: "\u019b"}
+
 
 def byte_signs() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -116,6 +119,8 @@ class Transducer:
         self.ranks = {tuple(m): i for i, m in enumerate(model["model"]["merges"])}
         self.suffix = model["model"]["end_of_word_suffix"] or ""
         special = [t["content"] for t in model["added_tokens"]]
+        if any(map(_CUT.search, special)):
+            raise ValueError("special strings with white space or digits aren't supported")
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.signs, self.kinds, self.joins = byte_signs(), {}, {}
         self.paths = Paths(self)
@@ -266,7 +271,7 @@ class Transducer:
 
     def normal(self, text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = unicodedata.normalize("NFC", text).translate(LOWER)
         return text.lower()
 
     def count(self, text: str) -> int:
@@ -282,7 +287,7 @@ class Transducer:
         cuts = [m.start() for m in _CUT.finditer(chunk)]
         if not cuts:
             return StateMap(chunk, -1, "")
-        return StateMap(chunk[: cuts[0]], self.count(chunk[cuts[0] : cuts[-1]]), chunk[cuts[-1] + 1 :])
+        return StateMap(chunk[: cuts[0]], self.count(chunk[cuts[0] : cuts[-1] + 1]), chunk[cuts[-1] + 1 :])
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
         """First ``a``, then ``b``."""
