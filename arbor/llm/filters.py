@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a filter block: what bitmap_construct_agg() packs into one 4 KiB bitmap.
+#: Bits of a filter block: 512 numbers of 64 bits.
 BLOCK_BITS = 32768
 #: Filter bits for each row, and cells that a row hits.
 BITS_PER_ROW, CELLS = 16, 3
@@ -25,9 +25,9 @@ def broadcastable(blocks: int) -> bool:
     return blocks * BLOCK_BITS // 8 <= MAX_BROADCAST_BYTES
 
 
-def _cells() -> Column:
+def _cells() -> list[Column]:
     bits = F.xxhash64(F.col("_h"), F.lit(7))
-    return F.array_distinct(F.array(*[F.shiftrightunsigned(bits, 15 * i).bitwiseAND(BLOCK_BITS - 1) for i in range(CELLS)]))
+    return [F.shiftrightunsigned(bits, 15 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for i in range(CELLS)]
 
 
 def _block(blocks: int) -> Column:
@@ -35,20 +35,29 @@ def _block(blocks: int) -> Column:
 
 
 def cells_hit(hashes: DataFrame, blocks: int, times: int = 1) -> DataFrame:
-    """(_block, _bits): the cells that at least so many rows of ``hashes`` (_h) hit, as bitmaps.
+    """(_block, _bits): the cells that at least so many rows of ``hashes`` (_h) hit, as 512 numbers.
 
     Hits are counted before they are shuffled: a hash that a third of all rows have is one row of a task.
     """
-    hits = hashes.select(_block(blocks).alias("_block"), F.explode(_cells()).alias("_cell"))
-    often = hits.groupBy("_block", "_cell").agg(F.count(F.lit(1)).alias("_hits")).where(F.col("_hits") >= times)
-    return often.groupBy("_block").agg(F.bitmap_construct_agg("_cell").alias("_bits"))
+    hits = hashes.select(_block(blocks).alias("_block"), F.explode(F.array_distinct(F.array(*_cells()))).alias("_cell"))
+    if times > 1:
+        hits = hits.groupBy("_block", "_cell").agg(F.count(F.lit(1)).alias("_hits")).where(F.col("_hits") >= times)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_cell").bitwiseAND(F.lit(63)))
+    words = hits.select("_block", F.shiftright("_cell", 6).alias("_word"), one.alias("_bit"))
+    per = BLOCK_BITS // 64
+    every = hashes.sparkSession.range(blocks * per).select(F.floor(F.col("id") / per).alias("_block"), (F.col("id") % per).cast("int").alias("_word"), F.lit(0).cast("long").alias("_bit"))
+    whole = words.unionByName(every).groupBy("_block", "_word").agg(F.bit_or("_bit").alias("_bit"))
+    packed = F.sort_array(F.collect_list(F.struct("_word", "_bit")))
+    return whole.groupBy("_block").agg(F.transform(packed, lambda x: x["_bit"]).alias("_bits"))
 
 
 def probe(hashes: DataFrame, hit: DataFrame, blocks: int) -> DataFrame:
     """``hashes`` (_h and any columns) with _maybe: whether all cells of the row are hit."""
     if broadcastable(blocks):
         hit = F.broadcast(hit)
-    bit = "getbit(cast(conv(hex(substring(_bits, cast(c >> 3 as int) + 1, 1)), 16, 10) as bigint), cast(c & 7 as int)) = 1"
-    joined = hashes.withColumns({"_block": _block(blocks), "_cells": _cells()}).join(hit, "_block", "left")
-    maybe = F.col("_bits").isNotNull() & F.expr(f"forall(_cells, c -> {bit})")
-    return joined.withColumn("_maybe", F.coalesce(maybe, F.lit(False))).drop("_block", "_cells", "_bits")
+    joined = hashes.withColumn("_block", _block(blocks)).join(hit, "_block", "left")
+    maybe = F.lit(True)
+    for cell in _cells():
+        word = F.get("_bits", F.shiftright(cell, 6))
+        maybe = maybe & (F.call_function("shiftrightunsigned", word, cell.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1)
+    return joined.withColumn("_maybe", F.coalesce(maybe, F.lit(False))).drop("_block", "_bits")
