@@ -61,6 +61,21 @@ def test_flac_frames_of_all_kinds_and_damage():
         flac.decode([b"RIFF"])
 
 
+def test_flac_query_by_force(spark, docs):
+    rows = {r.doc_id: r for r in queries.op1_flac(spark, SF).collect()}
+    assert len(rows) == len(docs)
+    for d, t in docs:
+        own = t.encode()
+        raw = own + bytes(max(64, -(-len(own) // 64) * 64) - len(own))
+        r, samples = rows[d], [b - 128 for b in raw]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(own), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+        assert r.feature == f"frames={-(-len(raw) // flac.FRAME)};sum={sum(samples)};energy={sum(x * x for x in samples)};peak={max(map(abs, samples))};crossings={crossings}"
+        if d < 40:
+            stream = flac.encode([raw])[0]
+            assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
+
+
 # 2 -------------------------------------------------------------------------------------
 
 
@@ -78,6 +93,17 @@ def test_language_model(spark, docs):
         assert math.isclose(rows[d].base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
 
 
+def test_language_model_beats_single_words_on_held_out_texts(spark):
+    rows = [r for r in queries.op2_lm_score(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in rows)
+    assert tokens > 10_000 and sum(r.score for r in rows) / tokens > sum(r.base_score for r in rows) / tokens + 0.05
+    assert all(r.score < 0 for r in rows)
+
+
+def test_rows_without_an_id_are_not_held_out(spark, odd):
+    assert [r[0] for r in odd.where("doc_id is null").select(quality.fold("doc_id", 7) == 2).collect()] == [False]
+
+
 def test_language_model_is_normalised_and_learns(spark, docs):
     known = lbl._Classes({b"a": 1, b"b": 2})
     unigram = np.full(lbl.CLASSES, 1 / lbl.CLASSES)
@@ -232,9 +258,10 @@ def test_spans_that_never_come_into_step_are_encoded_as_one(spark):
 # 5 -------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("percent, frequent", [(80, 256), (80, 1), (60, 4), (70, 256), (90, 8)])
-def test_lines_by_force(spark, monkeypatch, percent, frequent):
-    monkeypatch.setattr(lines, "FREQUENT", frequent)
+@pytest.mark.parametrize("percent, long", [(80, 256), (80, 1), (60, 3), (70, 256), (90, 8)])
+def test_lines_by_force(spark, monkeypatch, percent, long):
+    monkeypatch.setattr(lines, "LONG", long)
+    monkeypatch.setattr(lines, "SAMPLED", 1)
     rng = random.Random(4)
     base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(2, 30))] for _ in range(12)]
     made = [(50, "a b c d\na b c\na b\na\nA  b"), (51, "b c d e a\n\nz a b c d"), (52, "a\nb")]
@@ -281,10 +308,18 @@ def test_token_counts(odd, none, texts, chunk):
     assert counts.token_counts(none, P.path(queries.WORD_BPE)).count() == 0
 
 
+def test_token_counts_query(spark, docs):
+    own = Tokenizer.from_file(P.path(queries.WORD_BPE))
+    rows = {r.doc_id: r for r in queries.op6_token_counts(spark, SF).collect()}
+    for d, t in docs:
+        n = len(own.encode(t, add_special_tokens=False).ids)
+        assert (rows[d].n_bytes, rows[d].n_tokens, rows[d].over_limit) == (len(t.encode()), n, n > 2048)
+
+
 def test_state_maps_compose_in_any_grouping():
     fst, own, rng = counts.Transducer.of(P.path(queries.WORD_BPE)), Tokenizer.from_file(P.path(queries.WORD_BPE)), random.Random(3)
     for _ in range(400):
-        text = "".join(rng.choices(list("aAbrves' \n1é!.Σ|<>") + ["<|endoftext|>", "'re", "́"], k=rng.randrange(30)))
+        text = "".join(rng.choices(list("aAbrves' \n1é!.Σ|<>") + ["<|endoftext|>", "'re", "́", "\ua7cb", "\ua7dc"], k=rng.randrange(30)))
         maps = [fst.state_map(text[i : i + 4]) for i in range(0, len(text), 4)] or [fst.state_map("")]
         left = maps[0]
         for m in maps[1:]:
@@ -321,6 +356,66 @@ def test_quality_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def quality_by_force(spark, docs, labels):
+    """Scores of (id, text) rows by a model of ``labels`` {id: 0 or 1}, one number after another."""
+    import xxhash
+
+    full, same, mix, word_pair, shape_pair = (1 << 64) - 1, *map(int, (quality._SAME, quality._MIX, quality._WORD_PAIR, quality._SHAPE_PAIR))
+
+    def values(text):
+        words = text.encode().split()
+        hashes = [xxhash.xxh64_intdigest(w.lower()) for w in words]
+        kinds = ["".join("A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 or b >= 128 else "0" if 48 <= b <= 57 else chr(b) for b in w) for w in words]
+        looks = [xxhash.xxh64_intdigest(re.sub(r"(?s)(.)\1+", r"\1", k).encode("latin-1"), 1) for k in kinds]
+        looks = [same if i and hashes[i] == hashes[i - 1] else x for i, x in enumerate(looks)]
+        found = hashes + looks
+        for h, m in ((hashes, word_pair), (looks, shape_pair)):
+            found += [((a * mix + b) & full) * m & full for a, b in zip(h, h[1:])]
+        times = collections.Counter((h * same & full) >> (64 - quality.BITS) for h in found)
+        return {b: quality.SCALE * k / len(found) for b, k in times.items()} | {"bias": 1.0}
+
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(b):
+        over = abs(z[b]) - quality.L1
+        return -math.copysign(over, z[b]) / ((quality.BETA + math.sqrt(n[b])) / quality.ALPHA + quality.L2) if over > 0 else 0.0
+
+    def prob(x):
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(weight(b) * v for b, v in x.items())))))
+
+    every = {d: values(t) for d, t in docs}
+    order = spark.createDataFrame([(d,) for d in labels if d in every], "id long").select("id", F.xxhash64("id").alias("o")).orderBy("o").collect()
+    for _ in range(quality.EPOCHS):
+        for r in order:
+            x = every[r.id]
+            off = prob(x) - labels[r.id]
+            w = {b: weight(b) for b in x}
+            for b, v in x.items():
+                g = off * v
+                z[b] += g - (math.sqrt(n[b] + g * g) - math.sqrt(n[b])) / quality.ALPHA * w[b]
+                n[b] += g * g
+    return {d: prob(x) for d, x in every.items()}
+
+
+def quality_labels(sf_dir):
+    marks = duckdb.sql(f"SELECT doc_id, quality FROM '{sf_dir}/labels.parquet'").fetchall()
+    return {d: q for d, q in marks if zlib.crc32(str(d).encode()) % 5 != 0}
+
+
+def test_quality_query_by_force(spark, docs):
+    want = quality_by_force(spark, docs, quality_labels(SF))
+    for r in queries.op7_quality(spark, SF).collect():
+        assert math.isclose(r.score, want[r.doc_id], abs_tol=1e-4) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_quality_learns_from_as_much_as_is_allowed(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(6)], "doc_id long, text string")
+    first = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id")).collect()]
+    few = quality.learn(docs, labels, most=250)
+    assert (few == quality.learn(docs, labels.where(F.col("doc_id").isin(first[:2])))).all() and (few != quality.learn(docs, labels)).any()
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (8, 0), (8, 1), (1, None), (None, 1), (6, 1)], "doc_id long, quality int")
     w = quality.learn(odd, labels, sample=3)
@@ -406,6 +501,14 @@ def test_personal_data_by_force(spark, odd, none):
     assert pii.find(odd).count() == odd.count() and pii.find(none).count() == 0
 
 
+def test_personal_data_query_by_force(spark, docs):
+    rows = {r.doc_id: r for r in queries.op9_pii(spark, SF).collect()}
+    for d, t in docs:
+        want = base_by_force(t)
+        assert rows[d].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and {*rows[d].spans.split(",")} >= {*want}
+        assert [rows[d][f"n_{k}"] for k in BASE] == [sum(x.startswith(f"{k}:") for x in want) for k in BASE]
+
+
 def test_boosted_trees_add_likely_spans(spark):
     rows = [(i, f"tel: +1 ({i:03}) 555-{i:04} end") for i in range(200)] + [(300, "tel: 1 (212) 555-0100 end"), (301, "id 20240101123 end")]
     found = {r._id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
