@@ -169,11 +169,12 @@ def printed(form: str, *values: Column | str) -> Column:
     return F.format_string(re.sub(r"%(-?\d*(?:\.\d+)?)[a-zA-Z]", r"%\1s", form), *map(text, values))
 
 
-def human_size(x: Column | str, base: int = 1024, whole: bool = False, unit: str = "") -> Column:
-    """A number with a suffix of its magnitude: 1536 is 1.5K."""
+def human_size(x: Column | str, base: int = 1024, whole: bool = False, unit: str = "", largest: str = "E") -> Column:
+    """A number with a suffix of its magnitude, ``largest`` at most: 1536 is 1.5K."""
     n = number(x)
     out = F.when(F.abs(n) < base, F.concat(F.format_string("%.0f", n), F.lit(unit)))
-    marks = ("K", "M", "G", "T", "P", "E")
+    marks = "KMGTPE"
+    marks = marks[: marks.index(largest) + 1]
     for i, mark in enumerate(marks, 1):
         scaled = n / float(base**i)
         shown = F.format_string("%.0f" if whole else "%.1f", scaled)

@@ -5,6 +5,9 @@ import base64
 from pyspark.sql import functions as F
 
 from arbor.functions import strings
+from arbor.queries import QUERIES, SQL
+
+from .oracle import check
 
 
 def test_base64_is_one_line(spark):
@@ -12,3 +15,23 @@ def test_base64_is_one_line(spark):
     df = spark.createDataFrame([(long,), ("a" * 57,), ("a" * 58,), ("",)], "x string")
     for r in df.select("x", strings.base64_encode("x").alias("e"), strings.base64_decode(strings.base64_encode("x")).alias("d")).collect():
         assert r.e == base64.b64encode(r.x.encode()).decode() and r.d == r.x
+
+
+def test_largest_suffix(spark):
+    n = F.col("n")
+    df = spark.createDataFrame([(1048575,), (1048576,), (9000000,)], "n long").orderBy("n")
+    got = [tuple(r) for r in df.select(strings.human_size(n * 1024, largest="M"), strings.human_size(n * 1024)).collect()]
+    assert got == [("1024.0M", "1024.0M"), ("1024.0M", "1.0G"), ("8789.1M", "8.6G")]
+
+
+def test_humanize_of_large_keys_against_sql(spark, tmp_path):
+    keys = [0, 1, 1023, 1024, 1075, 1331, 999999, 1048575, 1048576, 2097152, 8999999]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/w")
+    _one_file(tmp_path, "orders")
+    check(spark, QUERIES["fn_humanize"], SQL["fn_humanize"], str(tmp_path))
+
+
+def _one_file(tmp_path, table):
+    """The one part written to w as a file, which both Spark and DuckDB read by the table's name."""
+    (part,) = tmp_path.glob("w/*.parquet")
+    (tmp_path / f"{table}.parquet").write_bytes(part.read_bytes())
