@@ -31,6 +31,22 @@ def test_humanize_of_large_keys_against_sql(spark, tmp_path):
     check(spark, QUERIES["fn_humanize"], SQL["fn_humanize"], str(tmp_path))
 
 
+PAGES = [
+    "<html><title>of.&amp;&amp;&amp</title><p>x</html>", "<title>a&</title><a href='/x?a=1&b=2'>t</a>", "<title>t = &quot;x&quot; &am</title><p >", "<title>plain</title><script>if (a<b) x('<p>')</script>",
+    "no title",
+]
+
+
+def test_titles_against_sql(spark, tmp_path):
+    _pages(spark, tmp_path)
+    check(spark, QUERIES["html_titles"], SQL["html_titles"], str(tmp_path))
+
+
+def _pages(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/w")
+    _one_file(tmp_path, "pages")
+
+
 def _one_file(tmp_path, table):
     """The one part written to w as a file, which both Spark and DuckDB read by the table's name."""
     (part,) = tmp_path.glob("w/*.parquet")
