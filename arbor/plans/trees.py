@@ -118,12 +118,15 @@ def _with_attributes(nodes: DataFrame) -> DataFrame:
     return rows.select("n.*", "b._attributes", F.coalesce("b._below", F.lit(0)).alias("_below"))
 
 
-def markup(nodes: DataFrame, method: str = "xml") -> DataFrame:
-    """(doc_id, text): a node table written as ``xml``, ``html`` (void elements have no end) or ``text`` (text nodes only)."""
+def markup(nodes: DataFrame, method: str = "xml", escaped: bool = False) -> DataFrame:
+    """(doc_id, text): a node table written as ``xml``, ``html`` (void elements have no end) or ``text`` (text nodes only).
+
+    ``escaped`` values have their references in them already, as those of ``parse_written_html``, and are written as they are.
+    """
     if method == "text":
         return written(nodes.withColumns({"before": F.when(F.col("kind") == "text", F.col("value")), "after": F.lit(None).cast("string")}))
     name, value, own = F.col("name"), F.coalesce("value", F.lit("")), _with_attributes(nodes)
-    plain = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    plain = (lambda x: x) if escaped else lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     attributes = F.array_join(F.transform(F.coalesce("_attributes", F.array().cast("array<struct<pre:bigint,name:string,value:string>>")), lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), F.replace(plain(a["value"]), F.lit('"'), F.lit("&quot;")), F.lit('"'))), "")
     empty = F.col("_below") == 0
     void = name.isin(*sorted(VOID)) if method == "html" else F.lit(False)

@@ -5,6 +5,7 @@ import base64
 from pyspark.sql import functions as F
 
 from arbor.functions import strings
+from arbor.plans import nodes, trees
 from arbor.queries import QUERIES, SQL
 
 from .oracle import check
@@ -42,6 +43,17 @@ def test_titles_against_sql(spark, tmp_path):
     check(spark, QUERIES["html_titles"], SQL["html_titles"], str(tmp_path))
 
 
+def test_written_pages_against_sql(spark, tmp_path):
+    _pages(spark, tmp_path)
+    check(spark, QUERIES["tree_to_html"], SQL["tree_to_html"], str(tmp_path))
+
+
+def test_references_stay_as_written(spark):
+    html = '<a href="/x?a=1&b=2&amp;c">1 &lt 2 &amp; &#38;</a><script>a<b && c</script>'
+    made = nodes.encode(spark.createDataFrame([(1, html)], "id long, t string"), "id", "t", nodes.parse_written_html)
+    assert trees.markup(made, "html", escaped=True).first().text == html
+
+
 def _pages(spark, tmp_path):
     spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/w")
     _one_file(tmp_path, "pages")
