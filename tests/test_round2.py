@@ -2,6 +2,7 @@
 
 import base64
 
+import pytest
 from pyspark.sql import functions as F
 
 from arbor.functions import strings
@@ -63,3 +64,10 @@ def _one_file(tmp_path, table):
     """The one part written to w as a file, which both Spark and DuckDB read by the table's name."""
     (part,) = tmp_path.glob("w/*.parquet")
     (tmp_path / f"{table}.parquet").write_bytes(part.read_bytes())
+
+
+@pytest.mark.parametrize("name", ["json_to_tree"])
+def test_stored_tables_are_not_broadcast(spark, name):
+    """Their files are small however many rows they have: sizes of files are no reason to send rows to the driver."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
