@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import stored
+from ..shared import spread, stored
 from .nodes import VOID, _Builder, _contained
 
 _TOKEN = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|([\[\]{}:,])|([^\s\[\]{}:,"]+))', re.DOTALL)
@@ -103,9 +103,10 @@ def written(tokens: DataFrame) -> DataFrame:
         F.struct(F.col("pre").alias("at"), F.lit(0).alias("end"), F.lit(0).alias("up"), F.col("before").alias("t")),
         F.struct((F.col("pre") + F.col("size")).alias("at"), F.lit(1).alias("end"), (-F.col("level")).alias("up"), F.col("after").alias("t")),
     )
-    rows = tokens.select("doc_id", F.explode(parts).alias("x")).where(F.coalesce(F.col("x.t"), F.lit("")) != "")
+    some = F.filter(parts, lambda x: F.coalesce(x["t"], F.lit("")) != "")
+    rows = tokens.select("doc_id", F.explode_outer(some).alias("x"))  # a document without tokens keeps a row
     text = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "")
-    return tokens.select("doc_id").distinct().join(rows.groupBy("doc_id").agg(text.alias("text")), "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.groupBy("doc_id").agg(text.alias("text"))
 
 
 def _with_attributes(nodes: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def _with_attributes(nodes: DataFrame) -> DataFrame:
     by = nodes.where("parent is not null").groupBy("doc_id", F.col("parent").alias("_of")).agg(
         F.sort_array(F.collect_list(F.when(F.col("kind") == "attr", own))).alias("_attributes"), F.count(F.when(F.col("kind") != "attr", 1)).alias("_below")
     )
-    rows = nodes.where("kind <> 'attr'").alias("n").join(by.alias("b"), (F.col("n.doc_id") == F.col("b.doc_id")) & (F.col("n.pre") == F.col("b._of")), "left")
+    rows = spread(nodes.where("kind <> 'attr'")).alias("n").join(spread(by).alias("b"), (F.col("n.doc_id") == F.col("b.doc_id")) & (F.col("n.pre") == F.col("b._of")), "left")
     return rows.select("n.*", "b._attributes", F.coalesce("b._below", F.lit(0)).alias("_below"))
 
 
@@ -150,9 +151,9 @@ def json_text(nodes: DataFrame) -> DataFrame:
     inner = elements.groupBy("doc_id", F.col("parent").alias("_of")).agg(F.count(F.lit(1)).alias("_elements"))
     e = elements.alias("e")
     for side, columns in ((texts, ["_text"]), (inner, ["_elements"])):
-        e = e.join(side.alias("s"), (F.col("e.doc_id") == F.col("s.doc_id")) & (F.col("e.pre") == F.col("s._of")), "left").select("e.*", *[f"s.{c}" for c in columns]).alias("e")
+        e = spread(e).join(spread(side).alias("s"), (F.col("e.doc_id") == F.col("s.doc_id")) & (F.col("e.pre") == F.col("s._of")), "left").select("e.*", *[f"s.{c}" for c in columns]).alias("e")
     above = elements.select("doc_id", F.col("pre").alias("_of"), F.col("_kind").alias("_above"), F.lit(True).alias("_inside"))
-    e = e.join(above.alias("s"), (F.col("e.doc_id") == F.col("s.doc_id")) & (F.col("e.parent") == F.col("s._of")), "left").select("e.*", "s._above", "s._inside")
+    e = spread(e).join(spread(above).alias("s"), (F.col("e.doc_id") == F.col("s.doc_id")) & (F.col("e.parent") == F.col("s._of")), "left").select("e.*", "s._above", "s._inside")
     place = F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("pre"))
     quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
     kind, text = F.coalesce("_kind", F.lit("")), F.coalesce("_text", F.lit(""))
@@ -267,7 +268,7 @@ def apply_templates(nodes: DataFrame, rules: list[Rule], mode: str = "") -> Data
     for d in levels:
         if d != levels[0]:
             above = level.where("_below is not null").select("doc_id", F.col("pre").alias("parent"), F.col("_below").alias("_mode"))  # noqa: F821
-            reached = all_.where(F.col("level") == d).join(above, ["doc_id", "parent"])
+            reached = spread(all_.where(F.col("level") == d)).join(spread(above), ["doc_id", "parent"])
         before, after, below = _decided(rules, F.col("_mode"))
         level = stored(reached.select(*columns, "_mode").select("doc_id", "pre", "size", "level", before.alias("before"), after.alias("after"), below.alias("_below")), "templates-level")
         tokens = level if tokens is None else tokens.unionByName(level)
