@@ -73,17 +73,26 @@ def duration(secs: Column | str) -> Column:
     """Seconds as an ISO duration of days and time: P1DT2H3M4S."""
     s = F.abs(col(secs).cast("long"))
     part = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
-    days, clock = part(F.floor(s / 86400), "D"), F.concat(part(F.floor(s % 86400 / 3600), "H"), part(F.floor(s % 3600 / 60), "M"), part(s % 60, "S"))
-    body = F.concat(F.lit("P"), days, F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(""))
-    return F.concat(F.when(col(secs) < 0, "-").otherwise(""), F.when(body == "P", "PT0S").otherwise(body))
+    clock = (part(F.floor(s % 86400 / 3600), "H"), part(F.floor(s % 3600 / 60), "M"), part(s % 60, "S"))
+    sign, mark = F.when(col(secs) < 0, "-").otherwise(""), F.when(s % 86400 > 0, "T").otherwise("")
+    return F.when(s > 0, F.concat(sign, F.lit("P"), part(F.floor(s / 86400), "D"), mark, *clock)).otherwise("PT0S")
+
+
+def _once(x: Column, make) -> Column:
+    """``make`` of a value that is computed once, however often it is used in there."""
+    return F.get(F.transform(F.array(x), make), 0)
 
 
 def duration_seconds(x: Column | str) -> Column:
     """Seconds of an ISO duration of days and time; null if it isn't one."""
     form = r"^(-?)P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$"
-    part = lambda i: F.coalesce(F.regexp_extract(col(x), form, i).try_cast("long"), F.lit(0))
-    n = part(2) * 86400 + part(3) * 3600 + part(4) * 60 + part(5)
-    return F.when(col(x).rlike(form), F.when(F.regexp_extract(col(x), form, 1) == "-", -n).otherwise(n))
+
+    def added(parts: Column) -> Column:
+        part = lambda i: F.coalesce(F.when(F.get(parts, i) != "", F.get(parts, i)).try_cast("long"), F.lit(0))  # noqa: E731; a cast that fails costs an exception
+        n = part(1) * 86400 + part(2) * 3600 + part(3) * 60 + part(4)
+        return F.when(F.get(parts, 0) == "-", -n).otherwise(n)
+
+    return _once(col(x), lambda t: F.when(t.rlike(form), _once(F.split(F.regexp_replace(t, form, "$1,$2,$3,$4,$5"), ","), added)))
 
 
 def formatted(x: Column | str, form: str) -> Column:

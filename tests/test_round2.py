@@ -5,7 +5,8 @@ import base64
 import pytest
 from pyspark.sql import functions as F
 
-from arbor.functions import strings
+from arbor.functions import dates, strings
+from arbor.operators import groups
 from arbor.plans import nodes, rules, trees
 from arbor.queries import QUERIES, SQL
 from arbor.shared import stored
@@ -77,3 +78,31 @@ def test_stored_tables_are_not_broadcast(spark, monkeypatch, name, rules_at_most
     plans = [df._jdf.queryExecution().sparkPlan().toString() for df in made]
     assert any("SortMergeJoin" in p for p in plans)
     assert all(p.count("BroadcastHashJoin") <= rules_at_most for p in plans[:-1]) and (name == "rulebook_filter" or "BroadcastHashJoin" not in plans[-1])
+
+
+def test_pairs_of_a_chain_are_found_once(spark, monkeypatch):
+    """A round makes as many pairs as are new, not one for each node between."""
+    made = []
+    monkeypatch.setattr(groups, "stored", lambda df, *a: (made.append(df), stored(df, *a))[1])
+    assert groups.reachable(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long"), "a", "b").count() == 5050
+    assert len(made) == 8
+    links = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (5, 0), (3, 3), (3, 9)]
+    got = {tuple(r) for r in groups.reachable(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == {(a, b) for a in (0, 1, 2, 3, 5) for b in (0, 1, 2, 3, 9)}
+
+
+def test_durations(spark):
+    secs = [0, 1, 59, 60, 3600, 86400, 90061, -90061, -60, None]
+    df = spark.createDataFrame([(x,) for x in secs], "x long").select("x", dates.duration("x").alias("d"))
+    got = [tuple(r) for r in df.select("d", dates.duration_seconds("d")).collect()]
+    assert [d for d, _ in got] == ["PT0S", "PT1S", "PT59S", "PT1M", "PT1H", "P1D", "P1DT1H1M1S", "-P1DT1H1M1S", "-PT1M", "PT0S"]
+    assert [n for _, n in got] == [x or 0 for x in secs]
+    odd = spark.createDataFrame([("P",), ("P1",), (",1,2,3,4",), ("PT",), (None,), ("1D",), ("-P2DT3S",)], "d string")
+    assert [r[0] for r in odd.select(dates.duration_seconds("d")).collect()] == [0, None, None, 0, None, None, -172803]
+
+
+def test_a_duration_is_parsed_once(spark):
+    """Neither the text nor its parse is repeated for each part of it."""
+    df = spark.range(1).select(dates.duration_seconds(F.upper(F.concat(F.lit("pt"), "id", F.lit("s")))).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1 and plan.count("regexp_replace") == 1
