@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.core import total
-from ..shared import stored
+from ..shared import spread, stored
 
 
 def first_of_group(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
@@ -36,13 +36,17 @@ def extremes(df: DataFrame, key: list[str], value: str, largest: bool = True) ->
 def reachable(links: DataFrame, source: str, target: str) -> DataFrame:
     """(source, target) of all paths along the links, whatever their length; cycles end too.
 
-    Each round joins what the last one found with all that is known, so paths of up to twice
-    the length are found; it goes on until a round adds nothing. Lineage ends in a stored table.
+    Pairs are known with the length of the shortest path. After k rounds all of at most n = 2 ** k
+    are; a round joins those of exactly n, which are few, with all that are known, and so finds
+    those up to 2 n. A shortest path has one node at n, so along chains every pair is found once,
+    and the work is about as much as there are pairs. It goes on until none has the length n.
+    Lineage ends in stored tables.
     """
-    found = new = stored(links.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct(), "reachable")
-    while not new.isEmpty():
-        step = found.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        new = new.join(step, "b").select("a", F.col("c").alias("b")).distinct().join(found, ["a", "b"], "left_anti")
-        new = stored(new, "reachable")
-        found = found.unionByName(new)
+    found = stored(links.select(F.col(source).alias("a"), F.col(target).alias("b"), F.lit(1).cast("long").alias("n")).distinct(), "reachable")
+    far, new = 1, found
+    while not (longest := new.where(F.col("n") == far)).isEmpty():
+        step = found.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m"))
+        new = spread(longest.select("a", "b")).join(spread(step), "b").groupBy("a", F.col("c").alias("b")).agg(F.min(F.col("m") + far).alias("n"))
+        new = stored(spread(new).join(spread(found.select("a", "b")), ["a", "b"], "left_anti"), "reachable")
+        found, far = found.unionByName(new), 2 * far
     return found.select(F.col("a").alias(source), F.col("b").alias(target))
