@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..shared import spread, stored
+from ..shared import dealt, spread, stored
 from .nodes import VOID, _Builder, _contained
 
 _TOKEN = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|([\[\]{}:,])|([^\s\[\]{}:,"]+))', re.DOTALL)
@@ -97,25 +97,25 @@ def _parsed(doc_id: int, text: str, root: str, types: bool, clean_names: bool) -
 # -- writing ------------------------------------------------------------------------------
 
 
-def written(tokens: DataFrame) -> DataFrame:
-    """(doc_id, text) of tokens: (doc_id, pre, size, level, before, after)."""
+def written(tokens: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, text) of tokens: (doc_id, pre, size, level, before, after), of about so many ``rows``."""
     parts = F.array(
         F.struct(F.col("pre").alias("at"), F.lit(0).alias("end"), F.lit(0).alias("up"), F.col("before").alias("t")),
         F.struct((F.col("pre") + F.col("size")).alias("at"), F.lit(1).alias("end"), (-F.col("level")).alias("up"), F.col("after").alias("t")),
     )
     some = F.filter(parts, lambda x: F.coalesce(x["t"], F.lit("")) != "")
-    rows = tokens.select("doc_id", F.explode_outer(some).alias("x"))  # a document without tokens keeps a row
+    signs = dealt(tokens.select("doc_id", F.explode_outer(some).alias("x")), 2 * rows, "doc_id")  # a document without tokens keeps a row
     text = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "")
-    return rows.groupBy("doc_id").agg(text.alias("text"))
+    return signs.groupBy("doc_id").agg(text.alias("text"))
 
 
-def _with_attributes(nodes: DataFrame) -> DataFrame:
+def _with_attributes(nodes: DataFrame, count: int) -> DataFrame:
     """Nodes but for attributes, each with _attributes in order, and _below, how many nodes that are none it has as children."""
     own = F.struct("pre", "name", "value")
-    by = nodes.where("parent is not null").groupBy("doc_id", F.col("parent").alias("_of")).agg(
+    by = dealt(nodes.where("parent is not null").select("doc_id", "parent", "pre", "kind", "name", "value"), count, "doc_id", "parent").groupBy("doc_id", F.col("parent").alias("_of")).agg(
         F.sort_array(F.collect_list(F.when(F.col("kind") == "attr", own))).alias("_attributes"), F.count(F.when(F.col("kind") != "attr", 1)).alias("_below")
     )
-    rows = spread(nodes.where("kind <> 'attr'")).alias("n").join(spread(by).alias("b"), (F.col("n.doc_id") == F.col("b.doc_id")) & (F.col("n.pre") == F.col("b._of")), "left")
+    rows = spread(dealt(nodes.where("kind <> 'attr'"), count, "doc_id", "pre")).alias("n").join(spread(by).alias("b"), (F.col("n.doc_id") == F.col("b.doc_id")) & (F.col("n.pre") == F.col("b._of")), "left")
     return rows.select("n.*", "b._attributes", F.coalesce("b._below", F.lit(0)).alias("_below"))
 
 
@@ -123,10 +123,12 @@ def markup(nodes: DataFrame, method: str = "xml", escaped: bool = False) -> Data
     """(doc_id, text): a node table written as ``xml``, ``html`` (void elements have no end) or ``text`` (text nodes only).
 
     ``escaped`` values have their references in them already, as those of ``parse_written_html``, and are written as they are.
+    The nodes are counted first, so they should be a stored table.
     """
+    count = nodes.count()
     if method == "text":
-        return written(nodes.withColumns({"before": F.when(F.col("kind") == "text", F.col("value")), "after": F.lit(None).cast("string")}))
-    name, value, own = F.col("name"), F.coalesce("value", F.lit("")), _with_attributes(nodes)
+        return written(nodes.withColumns({"before": F.when(F.col("kind") == "text", F.col("value")), "after": F.lit(None).cast("string")}), count)
+    name, value, own = F.col("name"), F.coalesce("value", F.lit("")), _with_attributes(nodes, count)
     plain = (lambda x: x) if escaped else lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     attributes = F.array_join(F.transform(F.coalesce("_attributes", F.array().cast("array<struct<pre:bigint,name:string,value:string>>")), lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), F.replace(plain(a["value"]), F.lit('"'), F.lit("&quot;")), F.lit('"'))), "")
     empty = F.col("_below") == 0
@@ -139,13 +141,14 @@ def markup(nodes: DataFrame, method: str = "xml", escaped: bool = False) -> Data
         .when(F.col("kind") == "pi", F.concat(F.lit("<?"), name, F.lit(" "), value, F.lit("?>")))
     )
     after = F.when((F.col("kind") == "elem") & ~closed & ~void, F.concat(F.lit("</"), name, F.lit(">")))
-    return written(own.withColumns({"before": before, "after": after}))
+    return written(own.withColumns({"before": before, "after": after}), count)
 
 
 def json_text(nodes: DataFrame) -> DataFrame:
     """(doc_id, text): trees in the form of :func:`json_parser` as JSON; the topmost element has no name."""
     attribute = lambda k: F.get(F.transform(F.filter("_attributes", lambda a: a["name"] == k), lambda a: a["value"]), 0)
-    own = _with_attributes(nodes.where("kind in ('root', 'elem', 'attr', 'text')"))
+    count = nodes.count()
+    own = _with_attributes(nodes.where("kind in ('root', 'elem', 'attr', 'text')"), count)
     texts = own.where("kind = 'text'").groupBy("doc_id", F.col("parent").alias("_of")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "value"))), lambda x: x["value"]), "").alias("_text"))
     elements = own.where("kind = 'elem'").withColumns({"_kind": attribute("type"), "_label": F.coalesce(attribute("name"), F.col("name"))})
     inner = elements.groupBy("doc_id", F.col("parent").alias("_of")).agg(F.count(F.lit(1)).alias("_elements"))
@@ -163,7 +166,7 @@ def json_text(nodes: DataFrame) -> DataFrame:
     opened = F.when(kind == "array", "[").when(F.col("_elements").isNotNull() | ((F.col("_below") == 0) & ~kind.isin("member", "true", "false", "null", "number")), "{")
     tokens = e.withColumns({"before": F.concat(lead, F.coalesce(opened, scalar)), "after": F.when(opened == "[", "]").when(opened == "{", "}")})
     documents = nodes.where("parent is null").select("doc_id", "pre", "size", "level", F.lit("").alias("before"), F.lit("").alias("after"))
-    return written(tokens.select("doc_id", "pre", "size", "level", "before", "after").unionByName(documents))
+    return written(tokens.select("doc_id", "pre", "size", "level", "before", "after").unionByName(documents), count)
 
 
 # -- making -------------------------------------------------------------------------------
@@ -274,7 +277,7 @@ def apply_templates(nodes: DataFrame, rules: list[Rule], mode: str = "") -> Data
         tokens = level if tokens is None else tokens.unionByName(level)
     if tokens is None:
         tokens = reached.select("doc_id", "pre", "size", "level", F.lit("").alias("before"), F.lit("").alias("after"))
-    return written(tokens)
+    return written(tokens, all_.count())
 
 
 # -- numbers of nodes ---------------------------------------------------------------------
