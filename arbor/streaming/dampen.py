@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 
-def accept(times, most: int, period: float, recent) -> tuple[list[bool], deque]:
+def accept(times, most: int, period: float, recent) -> tuple[list[bool], list]:
     """Which of the times, in order, are accepted after the ``recent`` ones, and the new recent ones."""
     out, recent = [], deque(recent)
     for t in times:
@@ -28,7 +28,7 @@ def accept(times, most: int, period: float, recent) -> tuple[list[bool], deque]:
         out.append(len(recent) < most)
         if out[-1]:
             recent.append(t)
-    return out, recent
+    return out, list(recent)
 
 
 def _stretches(events: DataFrame, key: str, period: int) -> DataFrame:
@@ -56,13 +56,13 @@ def dampen(events: DataFrame, key: str, time: str, most: int, period: float, ord
     schema = T.StructType([*events.schema.fields, T.StructField("accepted", T.BooleanType())])
 
     def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, recent = None, deque()
+        last, recent = None, []
         for pdf in batches:
             accepted = []
             names = list(zip(pdf[key].astype(object).where(pdf[key].notna(), None), pdf["_stretch"]))
             for name, run in groupby(zip(names, pdf["_micros"].tolist()), key=itemgetter(0)):
                 if name != last:
-                    last, recent = name, deque()
+                    last, recent = name, []
                 some, recent = accept((t for _, t in run), most, micros, recent)
                 accepted += some
             yield pdf.drop(columns=["_micros", "_stretch"]).assign(accepted=accepted)
@@ -78,7 +78,7 @@ def dampen_stream(events: DataFrame, key: str, time: str, most: int, period: flo
         recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(time)
         accepted, recent = accept([t.timestamp() for t in rows[time]], most, period, recent)
-        state.update((list(recent),))
+        state.update((recent,))
         yield pd.DataFrame({key: rows[key], time: rows[time], "accepted": accepted})
 
     schema = f"`{key}` {kind}, `{time}` timestamp, accepted boolean"
