@@ -10,7 +10,8 @@ longer one (as long as the threshold allows) and a shorter prefix of the other s
 that order, so classes are posted under their prefixes' words and joined on them, under
 conditions that the pair's first common word always meets: the length filter, the positional
 filter (what can still be shared from that word on) and a bound from the differing bits of
-parity sketches. Candidates are verified on the full sets.
+parity sketches, finer ones for long lines, whose words would fill a sketch of 64 bits.
+Candidates are verified on the full sets.
 
 Long lists (found by counting those of every ``SAMPLED``-th class, which decides only how the
 work is done) are different: there each class first meets only the earliest class of its lists
@@ -40,6 +41,8 @@ PERCENT = 80
 BUCKETS, BLOCK = 1 << 18, 1 << 10
 #: Classes of a long list, about, and the share of classes by which long lists are found.
 LONG, SAMPLED = 512, 16
+#: Sets of more words have a second sketch that splits cells of the first, of so many bits at most.
+FINE, SPLIT = 72, 32
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,7 +74,7 @@ def rarity(lines: DataFrame) -> list[int]:
 
 
 def _classes(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
-    """(_doc, _line, _n, _sketch, _prefix) for each set of words: its earliest line, size, sketch and rarest words.
+    """(_doc, _line, _n, _sketch, _fine, _prefix) for each set of words: its earliest line, size, sketches and rarest words.
 
     A word is its bucket's level and 56 bits of its hash in one number, so that numbers sort by rarity.
     """
@@ -82,43 +85,56 @@ def _classes(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
     key = F.struct(F.xxhash64("_set").alias("a"), F.xxhash64(F.lit(1), "_set").alias("b"), size.alias("n"))
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(w, 24).bitwiseAND(F.lit(63)).cast("int"))
     parity = F.aggregate("_set", F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(bit(w)))
+    # Of the words of a cell those of one half, by another bit: with them a cell of the first sketch is two.
+    half = lambda w: F.call_function("shiftleft", F.shiftrightunsigned(w, 30).bitwiseAND(F.lit(1)), F.shiftrightunsigned(w, 24).bitwiseAND(F.lit(63)).cast("int"))
+    fine = F.when(size > FINE, F.aggregate("_set", F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(half(w)))).otherwise(0)
     prefix = F.slice("_set", 1, size - F.ceil(size * percent / 100).cast("int") + 1)
     prefix = F.transform(prefix, lambda w: w.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    rows = rows.select("_at", key.alias("_key"), parity.alias("_sketch"), prefix.alias("_prefix"))
-    out = rows.groupBy("_key").agg(F.min("_at").alias("_at"), F.first("_sketch").alias("_sketch"), F.first("_prefix").alias("_prefix"))
-    return out.select("_at._doc", "_at._line", F.col("_key.n").alias("_n"), "_sketch", "_prefix")
+    rows = rows.select("_at", key.alias("_key"), parity.alias("_sketch"), fine.bitwiseAND(F.lit((1 << SPLIT) - 1)).alias("_fine"), prefix.alias("_prefix"))
+    out = rows.groupBy("_key").agg(F.min("_at").alias("_at"), F.first("_sketch").alias("_sketch"), F.first("_fine").alias("_fine"), F.first("_prefix").alias("_prefix"))
+    return out.select("_at._doc", "_at._line", F.col("_key.n").alias("_n"), "_sketch", "_fine", "_prefix")
 
 
 class Layout(NamedTuple):
-    """How a posting's _place holds in one number: size, place in the set, line (if ``line`` bits are left), and whether it doesn't look."""
+    """How a posting's _place holds in one number: size, place in the set, line (if ``line`` bits are left), and whether it doesn't look; above, ``fine`` bits of the second sketch."""
 
     place: int
     line: int
+    fine: int
 
     @classmethod
     def of(cls, classes: DataFrame) -> Layout:
         most = classes.agg(F.max("_n"), F.max("_line")).first()
         size, line = ((x or 0).bit_length() for x in most)
-        return cls(size, line if 2 * size + line < 62 else 0)
+        line = line if 2 * size + line < 62 else 0
+        return cls(size, line, max(0, min(SPLIT, 62 - 2 * size - line)))
 
     @property
     def columns(self) -> list[str]:
         """Besides _word and _doc."""
         return ["_place", "_sketch"] + ([] if self.line else ["_line"])
 
-    def pack(self, n: Column, pos: Column, line: Column) -> Column:
+    def pack(self, n: Column, pos: Column, line: Column, fine: Column) -> Column:
+        fine = F.shiftleft(fine.bitwiseAND(F.lit((1 << self.fine) - 1)), 2 * self.place + self.line + 1)
         out = F.shiftleft(n.cast("long"), self.place).bitwiseOR(pos.cast("long"))
-        return F.shiftleft(F.shiftleft(out, self.line).bitwiseOR(line.cast("long")) if self.line else out, 1)
+        return F.shiftleft(F.shiftleft(out, self.line).bitwiseOR(line.cast("long")) if self.line else out, 1).bitwiseOR(fine)
 
     def size_and_place(self, side: str) -> tuple[Column, Column]:
         at = F.shiftright(F.col(f"{side}._place"), self.line + 1)
-        return F.shiftright(at, self.place), at.bitwiseAND(F.lit((1 << self.place) - 1))
+        return F.shiftright(at, self.place).bitwiseAND(F.lit((1 << self.place) - 1)), at.bitwiseAND(F.lit((1 << self.place) - 1))
 
     def first(self, side: str) -> Column:
         """The line of a side, in order of lines."""
         packed = F.shiftright(F.col(f"{side}._place"), 1).bitwiseAND(F.lit((1 << self.line) - 1)).cast("int")
         return F.struct(F.col(f"{side}._doc").alias("_doc"), (packed if self.line else F.col(f"{side}._line")).alias("_line"))
 
+    def differing(self) -> Column:
+        """In how many cells of their sketches two sets a and b differ, which is in no more than they differ in words."""
+        bits = F.col("a._sketch").bitwiseXOR(F.col("b._sketch"))
+        fine = F.shiftright(F.col("a._place").bitwiseXOR(F.col("b._place")), 2 * self.place + self.line + 1)
+        both = F.least(self.size_and_place("a")[0], self.size_and_place("b")[0]) > FINE
+        return F.when(both, F.bit_count(fine) + F.bit_count(bits.bitwiseXOR(fine))).otherwise(F.bit_count(bits)) if self.fine else F.bit_count(bits)
+
     def looks(self, side: str) -> Column:
         """Whether the class of a side looks for an earlier line."""
         return F.col(f"{side}._place").bitwiseAND(F.lit(1)) == 0
@@ -127,19 +143,15 @@ class Layout(NamedTuple):
 def _postings(classes: DataFrame, layout: Layout, percent: int, *more: str) -> DataFrame:
     """Each class under the words of its prefix, but for sets so small that no other set can be similar enough."""
     able = classes.where(F.col("_n") * 100 >= (F.col("_n") + 1) * percent)
-    posted = able.select("_doc", "_line", "_n", "_sketch", *more, F.posexplode("_prefix").alias("_pos", "_word"))
-    return posted.withColumn("_place", layout.pack(F.col("_n"), F.col("_pos"), F.col("_line"))).select("_word", "_doc", *layout.columns, *more)
-
-
-def _differing() -> Column:
-    return F.bit_count(F.col("a._sketch").bitwiseXOR(F.col("b._sketch")))
+    posted = able.select("_doc", "_line", "_n", "_sketch", "_fine", *more, F.posexplode("_prefix").alias("_pos", "_word"))
+    return posted.withColumn("_place", layout.pack(F.col("_n"), F.col("_pos"), F.col("_line"), F.col("_fine"))).select("_word", "_doc", *layout.columns, *more)
 
 
 def _able(layout: Layout, percent: int) -> Column:
     """What holds for two sets a and b that reach the threshold at the first word that they share."""
     (an, ap), (bn, bp) = layout.size_and_place("a"), layout.size_and_place("b")
     need = F.ceil((an + bn) * percent / (100 + percent))
-    return (F.least(an, bn) * 100 >= F.greatest(an, bn) * percent) & (F.least(an - ap, bn - bp) >= need) & (an + bn - _differing() >= 2 * need)
+    return (F.least(an, bn) * 100 >= F.greatest(an, bn) * percent) & (F.least(an - ap, bn - bp) >= need) & (an + bn - layout.differing() >= 2 * need)
 
 
 def _parities() -> list[Column]:
@@ -211,7 +223,7 @@ def _settled(hot: DataFrame, lines: DataFrame, layout: Layout, percent: int) ->
     earliest = F.min(F.struct(layout.first("p").alias("_first"), *[F.col(f"p.{c}") for c in ("_doc", *layout.columns)])).alias("h")
     hubs = hot.alias("p").groupBy("_word").agg(earliest).select("_word", "h.*").drop("_first")
     near = hot.alias("a").join(hubs.alias("b"), (F.col("a._word") == F.col("b._word")) & _able(layout, percent) & (layout.first("b") < layout.first("a")))
-    closest = near.groupBy(layout.first("a").alias("a")).agg(F.min(F.struct(_differing().alias("d"), layout.first("b").alias("b"))).alias("x"))
+    closest = near.groupBy(layout.first("a").alias("a")).agg(F.min(F.struct(layout.differing().alias("d"), layout.first("b").alias("b"))).alias("x"))
     closest = stored(closest.select("a", F.col("x.b").alias("b")), "lines-closest")
     return _similar(closest, _near(closest, lines), percent)
 
@@ -251,7 +263,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shorter = (an < bn) | ((an == bn) & (first < second))
     on = (F.col("a._word") == F.col("b._word")) & (an <= bn) & indexed & _able(layout, percent) & shorter & (first != second) & later_looks
     later, earlier = F.when(a_later, first).otherwise(second), F.when(a_later, second).otherwise(first)
-    pairs = posted.alias("a").join(posted.alias("b"), on).select(later.alias("a"), earlier.alias("b"), _differing().alias("d"))
+    pairs = posted.alias("a").join(posted.alias("b"), on).select(later.alias("a"), earlier.alias("b"), layout.differing().alias("d"))
     found = _verified(pairs, lines, percent)
     gone = found if gone is None else gone.unionByName(found)
     return classes.select(F.struct("_doc", "_line").alias("_at")).join(gone, F.col("_at") == F.col("a"), "left_anti").select("_at._doc", "_at._line")
