@@ -259,7 +259,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         later_looks = F.when(a_later, layout.looks("a")).otherwise(layout.looks("b"))
     # Both sides have the same columns, so the postings are shuffled once: a is the shorter set.
     (an, ap), (bn, _) = layout.size_and_place("a"), layout.size_and_place("b")
-    indexed = ap <= an - F.ceil(an * 2 * percent / (100 + percent))
+    indexed = ap + bn <= an - F.ceil(an * 2 * percent / (100 + percent)) + bn  # bn keeps this in the join: as a filter of a it would part the two shuffles
     shorter = (an < bn) | ((an == bn) & (first < second))
     on = (F.col("a._word") == F.col("b._word")) & (an <= bn) & indexed & _able(layout, percent) & shorter & (first != second) & later_looks
     later, earlier = F.when(a_later, first).otherwise(second), F.when(a_later, second).otherwise(first)
