@@ -51,13 +51,26 @@ def cells_hit(hashes: DataFrame, blocks: int, times: int = 1) -> DataFrame:
     return whole.groupBy("_block").agg(F.transform(packed, lambda x: x["_bit"]).alias("_bits"))
 
 
+def _all_hit() -> Column:
+    """Whether all cells of a row (_h) are hit in _bits."""
+    maybe = F.lit(True)
+    for cell in _cells():
+        word = F.get("_bits", F.shiftright(cell, 6))
+        maybe = maybe & (F.call_function("shiftrightunsigned", word, cell.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1)
+    return maybe
+
+
 def probe(hashes: DataFrame, hit: DataFrame, blocks: int) -> DataFrame:
     """``hashes`` (_h and any columns) with _maybe: whether all cells of the row are hit."""
     if broadcastable(blocks):
         hit = F.broadcast(hit)
     joined = hashes.withColumn("_block", _block(blocks)).join(hit, "_block", "left")
-    maybe = F.lit(True)
-    for cell in _cells():
-        word = F.get("_bits", F.shiftright(cell, 6))
-        maybe = maybe & (F.call_function("shiftrightunsigned", word, cell.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1)
-    return joined.withColumn("_maybe", F.coalesce(maybe, F.lit(False))).drop("_block", "_bits")
+    return joined.withColumn("_maybe", F.coalesce(_all_hit(), F.lit(False))).drop("_block", "_bits")
+
+
+def passing(hashes: DataFrame, hit: DataFrame, blocks: int) -> DataFrame:
+    """The rows of ``hashes`` (_h and any columns) whose cells are all hit; the join makes no others."""
+    if broadcastable(blocks):
+        hit = F.broadcast(hit)
+    hit = hit.withColumnRenamed("_block", "_of")
+    return hashes.withColumn("_block", _block(blocks)).join(hit, (F.col("_block") == F.col("_of")) & _all_hit(), "left_semi").drop("_block")

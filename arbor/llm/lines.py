@@ -148,10 +148,14 @@ def _postings(classes: DataFrame, layout: Layout, percent: int, *more: str) -> D
 
 
 def _able(layout: Layout, percent: int) -> Column:
-    """What holds for two sets a and b that reach the threshold at the first word that they share."""
+    """What holds for two sets a and b that reach the threshold at the first word that they share.
+
+    They have to share ``(an + bn) * percent / (100 + percent)`` words; all is in whole numbers, as it is asked of every pair that meets.
+    """
     (an, ap), (bn, bp) = layout.size_and_place("a"), layout.size_and_place("b")
-    need = F.ceil((an + bn) * percent / (100 + percent))
-    return (F.least(an, bn) * 100 >= F.greatest(an, bn) * percent) & (F.least(an - ap, bn - bp) >= need) & (an + bn - layout.differing() >= 2 * need)
+    need, whole = (an + bn) * percent, 100 + percent
+    left = ((an - ap) * whole >= need) & ((bn - bp) * whole >= need)
+    return (an * 100 >= bn * percent) & (bn * 100 >= an * percent) & left & (F.shiftright(an + bn - layout.differing(), 1) * whole >= need)
 
 
 def _parities() -> list[Column]:
@@ -168,7 +172,7 @@ def _near(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     ends = stored(ends.distinct(), "lines-ends")
     blocks = filters.blocks_for(ends.count())
     if filters.broadcastable(blocks):  # else all sets meet the pairs
-        sets = filters.probe(sets, stored(filters.cells_hit(ends, blocks), "lines-cells"), blocks).where("_maybe")
+        sets = filters.passing(sets, stored(filters.cells_hit(ends, blocks), "lines-cells"), blocks)
     return stored(sets.select("_at", "_set", F.size("_set").alias("_n"), *[x.alias(f"_s{i}") for i, x in enumerate(_parities())]), "lines-near")
 
 
@@ -257,13 +261,15 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         gone = _settled(hot, lines, layout, percent)
         posted = _marked(classes, words, hot, gone, layout, percent)
         later_looks = F.when(a_later, layout.looks("a")).otherwise(layout.looks("b"))
-    # Both sides have the same columns, so the postings are shuffled once: a is the shorter set.
+    # a is the shorter set, which meets others by fewer words. Its postings under these and the rest are shuffled once each.
     (an, ap), (bn, _) = layout.size_and_place("a"), layout.size_and_place("b")
-    indexed = ap + bn <= an - F.ceil(an * 2 * percent / (100 + percent)) + bn  # bn keeps this in the join: as a filter of a it would part the two shuffles
+    indexed = (an - ap) * (100 + percent) >= an * 2 * percent
+    fewer, rest = posted.alias("a").where(indexed).select("a.*"), posted.alias("a").where(~indexed).select("a.*")
     shorter = (an < bn) | ((an == bn) & (first < second))
-    on = (F.col("a._word") == F.col("b._word")) & (an <= bn) & indexed & _able(layout, percent) & shorter & (first != second) & later_looks
+    on = (F.col("a._word") == F.col("b._word")) & (an <= bn) & _able(layout, percent) & shorter & (first != second) & later_looks
     later, earlier = F.when(a_later, first).otherwise(second), F.when(a_later, second).otherwise(first)
-    pairs = posted.alias("a").join(posted.alias("b"), on).select(later.alias("a"), earlier.alias("b"), layout.differing().alias("d"))
+    met = lambda others: fewer.alias("a").join(others.alias("b"), on).select(later.alias("a"), earlier.alias("b"), layout.differing().alias("d"))
+    pairs = met(fewer).unionByName(met(rest))
     found = _verified(pairs, lines, percent)
     gone = found if gone is None else gone.unionByName(found)
     return classes.select(F.struct("_doc", "_line").alias("_at")).join(gone, F.col("_at") == F.col("a"), "left_anti").select("_at._doc", "_at._line")

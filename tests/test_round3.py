@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from arbor.llm import filters
 from arbor.operators import groups
 
 
@@ -59,3 +61,13 @@ def _shuffled(spark):
     none = jvm.java.util.ArrayList()
     stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
     return {(x := stages.apply(i)).stageId(): x.shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_filter_join_makes_only_rows_that_pass(spark):
+    """op5_line_dedup: every line was a row of the join to the filter's blocks, in each of its passes."""
+    hashes = spark.range(3000).select("id", F.xxhash64("id").alias("_h"))
+    hit = filters.cells_hit(hashes.where("id % 50 = 0"), 3).cache()
+    passed = filters.passing(hashes, hit, 3)
+    found = {r.id for r in passed.collect()}
+    assert found == {r.id for r in filters.probe(hashes, hit, 3).where("_maybe").collect()} and {i for i in range(0, 3000, 50)} <= found
+    assert "Join LeftSemi" in passed._jdf.queryExecution().optimizedPlan().toString()
